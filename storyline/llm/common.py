@@ -52,3 +52,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bit_filter(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 22) -> DataFrame:
+    """Rows whose 64-bit key may be among the wanted ones; a join on the key must follow.
+
+    The filter is a bitmap of 2**bits bits in words of 64, at most 2**(bits - 6) broadcast rows whatever the size of
+    ``wanted``. It only spares shuffles: where it fills up it lets more rows pass and drops none that are wanted.
+    """
+    slot = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
+    words = wanted.select(F.shiftright(slot(wanted_key), 6).alias("__word"), bit(wanted_key).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.withColumn("__word", F.shiftright(slot(key), 6)).join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit(key)) != 0).drop("__word", "__bits")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import decontaminate, fingerprint, mixture, pii, quality, url_filter, warc
+from storyline.llm import decontaminate, fingerprint, line_dedup, mixture, pii, quality, url_filter, warc
 from storyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 #: The rules (host/path, action), and the words in hosts by which the method judges what no rule fits.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 HOST_WORDS = ("bets", "casino", "pills", "poker", "viagra", "xxx")
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_fingerprint": op5_fingerprint,
+    "op6_line_dedup": op6_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_mixture": op10_mixture,
 }
