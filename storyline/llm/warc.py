@@ -3,7 +3,7 @@
 Headers (id, digest, length) are shuffled by payload digest; of the records that share a payload of at least
 ``min_bytes`` bytes the one with the largest id stays a response, the others become revisits that refer to it.
 Payloads are shuffled once, by record id, to meet their headers. Archives are written by Spark's own writer
-(``lineSep`` ends a record with CRLF CRLF), so tasks can be lost and run again, and are plain WARC/1.1. They
+(``lineSep`` ends a record with CRLF CRLF), so tasks can be lost and run again, and are gzipped WARC/1.1. They
 are read back record by record by their Content-Length.
 
 Null payloads are empty. Records below ``min_bytes`` are all responses. Where several rows share both payload
@@ -14,6 +14,7 @@ payload are null, all rows are responses. Extra columns are ignored; an empty ta
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -84,13 +85,12 @@ def warc_record(date: str = "2024-01-01T00:00:00Z") -> Column:
 def write_warc(resolved: DataFrame, path: str, records_per_file: int = 5_000) -> None:
     """Writes archives under ``path``. A file is what one task reads back, so files are kept small by the task's share and ``records_per_file``."""
     text = resolved.select(warc_record().alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_warc(data) -> Iterator[tuple[dict[str, str], memoryview]]:
+def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
     """Headers and block of each record of an archive."""
-    view, at = memoryview(data), 0
-    raw = bytes(data) if not isinstance(data, bytes) else data
+    view, at = memoryview(raw), 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         lines = raw[at:end].decode("utf-8").split("\r\n")
@@ -111,7 +111,8 @@ def _read(with_payload: bool):
         for b in batches:
             for content in b.column("content"):
                 rows: list[tuple] = []
-                for head, block in parse_warc(content.as_buffer()):
+                data = bytes(content.as_buffer())
+                for head, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     whole = bytes(block)
                     http, _, payload = whole.partition(b"\r\n\r\n")
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
