@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import decontaminate, fingerprint, line_dedup, mixture, pii, quality, url_filter, warc
+from storyline.llm import decontaminate, fingerprint, line_dedup, mixture, ngram_join, pii, quality, url_filter, warc
 from storyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) AS c ON d.doc_id = c.doc_id
+"""
+
+
 #: The rules (host/path, action), and the words in hosts by which the method judges what no rule fits.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 HOST_WORDS = ("bets", "casino", "pills", "poker", "viagra", "xxx")
@@ -98,7 +114,8 @@ QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_fingerprint": op5_fingerprint,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op10_mixture": op10_mixture,
 }
-SQL: dict[str, str] = {"op2_warc": SQL_OP2, "op4_decontaminate": SQL_OP4, "op8_url_filter": SQL_OP8}
+SQL: dict[str, str] = {"op2_warc": SQL_OP2, "op4_decontaminate": SQL_OP4, "op7_ngram_join": SQL_OP7, "op8_url_filter": SQL_OP8}
