@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import decontaminate, fingerprint, line_dedup, mixture, ngram_join, pii, quality, url_filter, warc
+from storyline.llm import decontaminate, fingerprint, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup, url_filter, warc
 from storyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,25 @@ FROM s
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL_OP9 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, md5(b[p + 1 : p + 200]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d WHERE octet_length(b) >= 200)),
+r AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT doc_id, p, sum(CASE WHEN p > last + 200 OR last IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM m GROUP BY doc_id, g),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM s UNION ALL SELECT doc_id, max(z), NULL FROM s GROUP BY doc_id),
+x AS (SELECT k.doc_id, unhex(string_agg(substr(hex(b), 2 * f + 1, 2 * (coalesce(t, octet_length(b)) - f)), '' ORDER BY f)) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id),
+c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -116,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixture": op10_mixture,
 }
-SQL: dict[str, str] = {"op2_warc": SQL_OP2, "op4_decontaminate": SQL_OP4, "op7_ngram_join": SQL_OP7, "op8_url_filter": SQL_OP8}
+SQL: dict[str, str] = {"op2_warc": SQL_OP2, "op4_decontaminate": SQL_OP4, "op7_ngram_join": SQL_OP7, "op8_url_filter": SQL_OP8, "op9_suffix_dedup": SQL_OP9}
