@@ -64,25 +64,27 @@ def _cut(parts: DataFrame, bucket: str, *keep: str) -> DataFrame:
     return run.where((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).select("source", "rest", "before", bucket, *keep)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """All documents with ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All documents with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted), ``copies`` and the columns to ``keep`` (but for those names)."""
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    sized = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"), u.alias("u")),
-        "mix-sizes",
-    )
+    measures = (F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"), u.alias("u"))
+    sized = materialise(docs.select(*measures), "mix-sizes")
     per_source = targets(sized, "source", share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per_source = per_source.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     f = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
     per_source = F.broadcast(per_source.withColumn("odds", F.greatest(f, F.lit(1e-12)) / F.greatest(1 - f, F.lit(1e-12))))
     # q: the Pareto rank. The buckets are of its rank under equal odds, so that each holds a like share of a source.
-    ranked = (
-        sized.join(per_source, sized["source"].eqNullSafe(per_source["source"]), "left").drop(per_source["source"])
-        .withColumn("q", F.col("u") / (1 - F.col("u")) / F.col("odds"))
-        .withColumn("share", F.col("q") * F.col("odds") / (1 + F.col("q") * F.col("odds")))
-        .withColumn("b1", F.least(F.floor(F.col("share") * BUCKETS), F.lit(BUCKETS - 1)))
-        .withColumn("b2", F.least(F.floor((F.col("share") * BUCKETS - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)))
-    )
+    def rank(rows: DataFrame) -> DataFrame:
+        own = per_source.withColumnRenamed("source", "__source")
+        return (
+            rows.join(own, rows["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
+            .withColumn("q", F.col("u") / (1 - F.col("u")) / F.col("odds"))
+            .withColumn("share", F.col("q") * F.col("odds") / (1 + F.col("q") * F.col("odds")))
+            .withColumn("b1", F.least(F.floor(F.col("share") * BUCKETS), F.lit(BUCKETS - 1)))
+            .withColumn("b2", F.least(F.floor((F.col("share") * BUCKETS - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)))
+        )
+
+    ranked = rank(sized)
     live = ranked.where((F.col("rest") > 0) & (F.col("size") > 0)).withColumn("source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
     first = _cut(live.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1")
     inside = live.join(F.broadcast(first.select("source", "b1", F.col("before").alias("before1"))), ["source", "b1"])
@@ -103,23 +105,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = materialise(last.select("source", F.struct("q", "id", F.col("cut_size").alias("size"), "th").alias("cut"), "with_cut", "got"), "mix-cuts")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     place = F.struct("q", "id", "size", "th")
-    chosen = (
-        ranked.withColumn("key", key).join(F.broadcast(cuts.withColumnRenamed("source", "key")), "key", "left")
+    choose = lambda rows: (
+        rows.withColumn("key", key).join(F.broadcast(cuts.withColumnRenamed("source", "key")), "key", "left")
         .withColumn("extra", F.coalesce(F.when(F.col("size") > 0, (place < F.col("cut")) | ((place == F.col("cut")) & F.col("with_cut"))), F.lit(False)))
     )
     # One document a source may be turned: the one whose size is nearest to what the source is off by.
     off = F.col("rest") - F.col("got")
     gain = F.when(off > 0, F.when(~F.col("extra"), F.abs(off - F.col("size")))).otherwise(F.when(F.col("extra"), F.abs(-off - F.col("size"))))
     turned = (
-        chosen.where((F.col("size") > 0) & F.col("cut").isNotNull() & (gain < F.abs(off)))
+        choose(ranked).where((F.col("size") > 0) & F.col("cut").isNotNull() & (gain < F.abs(off)))
         .groupBy("key").agg(F.min(F.struct(gain.alias("gain"), F.col("q"), F.col("id"), F.col("size"), F.col("th"))).alias("t"))
         .select("key", F.col("t.id").alias("turn_id"), F.col("t.th").alias("turn_th"), F.lit(True).alias("turn"))
     )
-    out = chosen.join(F.broadcast(turned), "key", "left").withColumn(
+    # What is kept besides is read again from the documents and meets only broadcast rows, so texts are not shuffled.
+    rows = rank(docs.select(*measures, F.struct(*keep).alias("kept"))) if keep else ranked
+    out = choose(rows).join(F.broadcast(turned), "key", "left").withColumn(
         "extra", F.when(F.col("turn") & F.col("id").eqNullSafe(F.col("turn_id")) & F.col("th").eqNullSafe(F.col("turn_th")), ~F.col("extra")).otherwise(F.col("extra"))
     )
     return out.select(
         F.col("id").alias(id_col), "source", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         (F.col("size") * (F.coalesce("whole", F.lit(0).cast("long")) + F.col("extra").cast("long"))).alias("taken"),
         (F.coalesce("whole", F.lit(0).cast("long")) + F.col("extra").cast("long")).alias("copies"),
+        *(F.col("kept")[c].alias(c) for c in keep if c not in (id_col, "source", "size", "source_size", "target", "taken", "copies")),
     )
