@@ -11,9 +11,9 @@ sets must share).
 
 A set allocates its H + 1 probes by cost: first the segments that nobody else has, which cost nothing, then those
 in the smallest buckets. A set whose free segments are H + 1 already is left out. Candidates are verified on whole
-texts. As only components are asked for, a bucket's sets are first compared with one of them; then, where a bucket
-still holds sets of several components, probing sets are compared with those of other components. So a group of
-near copies costs a few comparisons a set, and no link between different sets is lost that would join components.
+texts, the sets of a bucket against its most central one first (see ``linking``), so that a group of near copies
+costs a few comparisons a set and no link between different sets is lost that would join components. Pairs whose
+parity sketches differ in more bits than similar sets can differ in tokens are not compared: an exact bound.
 
 Equal sets are one node. A text with no words has an empty set and is alone; with fewer words than a shingle, the
 whole sequence is its one shingle. A null id takes no part in the choice of component ids; a component of null ids
@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.llm.common import bit_filter, materialise, release, sliced
 from storyline.llm.components import components
+from storyline.llm.linking import bucket_links
 from storyline.llm.shingles import mix, shingle_set
 
 EXACT, DELETIONS, PREFIXES = 1, 2, 3
@@ -108,6 +110,15 @@ def _part(band: int, percent: int) -> Partition:
     return _PARTS[band, percent]
 
 
+SKETCH_WORDS = 16
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of how many tokens fall on each of 1024 places. Two sets differ in at least as many tokens as their sketches in bits."""
+    places = (mix(tokens + np.uint64(99)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_id(tokens: np.ndarray) -> int:
     """An even 64-bit id of a set; the lowest bit is free for a flag."""
     total = mix(tokens).sum(keepdims=True) + np.uint64(len(tokens))
@@ -121,9 +132,9 @@ def _measure(percent: int, k: int):
             for text in b.column("text"):
                 s = shingle_set(text.as_py(), k)
                 band = band_of(len(s)) if len(s) else -1
-                rows.append((len(s), set_id(s), band, *(_part(band, percent).need(s) if len(s) else (0, EXACT))))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["id", "rk", "n", "sid", "band", "filled", "need"])
+                rows.append((len(s), set_id(s), band, *(_part(band, percent).need(s) if len(s) else (0, EXACT)), sketch(s).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["id", "rk", "n", "sid", "band", "filled", "need", "sketch"])
 
     return run
 
@@ -172,6 +183,10 @@ def _compare(percent: int, k: int):
     return run
 
 
+def _differing_bits(x: Column, y: Column) -> Column:
+    return reduce(lambda a, b: a + b, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_WORDS)))
+
+
 def _links(pairs: DataFrame, measured: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """Of candidate pairs (a, b) of sets those that are similar, by the texts of one document of each."""
     pairs = materialise(pairs, "join-pairs")
@@ -186,7 +201,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """One row a document: ``id``, ``rk`` (hash of id and text), ``n_shingles`` and ``class``, equal for documents that links connect, null for empty sets."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rk"))
     kind = dict(docs.dtypes)["id"]
-    measured = materialise(docs.select("id", "rk", "text").mapInArrow(_measure(percent, k), f"id {kind}, rk long, n long, sid long, band int, filled int, need int"), "join-sets")
+    measured = materialise(docs.select("id", "rk", "text").mapInArrow(_measure(percent, k), f"id {kind}, rk long, n long, sid long, band int, filled int, need int, sketch array<long>"), "join-sets")
     # One row a band, some sixty at most.
     levels = {r["band"]: r["level"] for r in measured.where("n > 0").groupBy("band").agg(F.max("need").alias("level")).collect()}
     signed = docs.select("text").mapInArrow(_sign(levels, percent, k), "sig long, node long")
@@ -195,43 +210,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where(sid("low") != sid("high")), "join-buckets"
     )
     release(docs.sparkSession)
-    larger = buckets.where("rows > 2").select("sig", "low")
+    larger = buckets.where("rows > 2").select("sig")
     members = (
-        buckets.where("rows = 2").select("sig", "low", F.explode(F.array("low", "high")).alias("node"))
-        .unionByName(bit_filter(signed, "sig", larger, "sig").join(larger, "sig").select("sig", "low", "node").distinct())
+        buckets.where("rows = 2").select("sig", F.explode(F.array("low", "high")).alias("node"))
+        .unionByName(bit_filter(signed, "sig", larger, "sig").join(larger, "sig").select("sig", "node").distinct())
     )
-    members = materialise(members.select("sig", sid("low").alias("rep"), sid("node").alias("sid"), F.col("node").bitwiseAND(F.lit(1)).alias("own")), "join-members")
-    sets = measured.groupBy("sid").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("filled").alias("filled"))
+    members = materialise(members.select("sig", sid("node").alias("sid"), F.col("node").bitwiseAND(F.lit(1)).alias("own")), "join-members")
+    sets = measured.groupBy("sid").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("filled").alias("filled"), F.first("sketch").alias("sketch"))
     levelled = F.coalesce(*(F.when(F.col("band") == b, F.lit(v)) for b, v in levels.items()), F.lit(EXACT)) if levels else F.lit(EXACT)
     sizes = members.groupBy("sig").agg(F.count("*").alias("cost"))
     known = materialise(bit_filter(sets, "sid", members, "sid").join(members.select("sid").distinct(), "sid", "left_semi").withColumn("level", levelled), "join-known")
     # Allocation of probes: free segments first, then shared ones by the size of their buckets.
-    own = members.where("own = 1").join(sizes, "sig").join(known, "sid")
+    own = members.where("own = 1").join(sizes, "sig").join(known.drop("sketch"), "sid")
     w = Window.partitionBy("sid")
     most = F.floor(2 * F.col("n") * (100 - percent) / (100 + percent))
     probes = materialise(
         own.withColumn("shared", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("cost", "sig")))
         .where((F.col("level") > EXACT) | (F.col("rank") <= most + 1 - (F.col("filled") - F.col("shared"))))
-        .select("sig", "sid", "rep", "n"),
+        .select("sig", "sid"),
         "join-probes",
     )
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    star = probes.where("sid != rep").select("sid", "rep", "n").distinct().join(known.select(F.col("sid").alias("rep"), F.col("n").alias("rep_n")), "rep").where(fits("n", "rep_n"))
-    first = _links(star.select(F.greatest("sid", "rep").alias("a"), F.least("sid", "rep").alias("b")).distinct(), measured, docs, percent, k)
-    parts = components(first, tag="join-parts")
-    placed = members.select("sig", "sid", "rep").join(parts.withColumnRenamed("id", "sid"), "sid", "left").join(known.select("sid", "n"), "sid")
-    placed = materialise(placed.select("sig", "sid", "rep", "n", F.coalesce("component", "sid").alias("part")), "join-placed")
-    mixed = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("sig")
-    # Only where a bucket holds several parts: probing sets against members of other parts that are no larger.
-    left = probes.select("sig", F.col("sid").alias("x")).join(mixed, "sig")
-    right = placed.join(mixed, "sig")
-    x = left.join(right.select("sig", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp")), ["sig", "x"])
-    y = right.select("sig", F.col("sid").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), "rep")
-    rest = (
-        x.join(y, "sig").where((F.col("xp") != F.col("yp")) & (F.col("yn") <= F.col("xn")) & (F.col("yn") * 100 >= F.col("xn") * percent) & (F.col("y") != F.col("rep")))
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    links = bucket_links(
+        members.select(F.col("sig").alias("key"), F.col("sid").alias("id")), probes.select(F.col("sig").alias("key"), F.col("sid").alias("id")), known.select(F.col("sid").alias("id"), "n", "sketch"),
+        lambda n, m, x, y: (m <= n) & (100 * m >= percent * n) & (_differing_bits(x, y) * (100 + percent) <= (n + m) * (100 - percent)), lambda pairs: _links(pairs, measured, docs, percent, k), "join",
     )
-    links = first.union(_links(rest, measured, docs, percent, k))
     joined = components(links, tag="join-components").select(F.col("id").alias("sid"), "component")
     return measured.join(joined, "sid", "left").select("id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("class"))
 

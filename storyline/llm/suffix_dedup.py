@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import bit_filter, materialise, release, sliced
+from storyline.llm.common import bit_filter, drop, materialise, release, sliced, written
 from storyline.llm.shingles import mix, ranges_hash
 
 K = 100
@@ -103,27 +103,32 @@ class LevelFamily:
     """Suffix arrays of batches as levels that double in size; ``matched`` gathers (anchor, run) entries found again."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.matched: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: anchor and run, a row an occurrence."""
-        new = materialise(batch.groupBy("anchor", "run").agg(F.count("*").alias("n")), "suffix-level")
-        within = new.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("n").alias("most")).where("runs > 1 or most > 1").select("anchor")
-        self.matched.append(within)
-        for _, level in self.levels:
-            self.matched.append(new.select("anchor").join(level.select("anchor"), "anchor", "left_semi"))
+        """``batch``: anchor and run, a row an occurrence. A level that was merged into a larger one is deleted."""
+        spark = batch.sparkSession
+        new, path = written(batch.groupBy("anchor", "run").agg(F.count("*").alias("n")), "suffix-level")
+        found = new.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("n").alias("most")).where("runs > 1 or most > 1").select("anchor")
+        for _, level, _ in self.levels:
+            found = found.unionByName(level.select("anchor").join(new.select("anchor"), "anchor", "left_semi"))
+        self.matched.append(materialise(found.distinct(), "suffix-matched"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            new = materialise(new.unionByName(level).groupBy("anchor", "run").agg(F.sum("n").alias("n")), "suffix-level")
+            _, level, old = self.levels.pop()
+            last, last_path = new, path
+            new, path = written(last.unionByName(level).groupBy("anchor", "run").agg(F.sum("n").alias("n")), "suffix-level")
+            drop(spark, old)
+            drop(spark, last_path)
             size *= 2
-        self.levels.append((size, new))
+        self.levels.append((size, new, path))
+        release(spark)
 
     def repeated(self) -> DataFrame:
         """(anchor, run, n, runs) of anchors that occur more than once."""
         anchors = materialise(self._union(self.matched).distinct(), "suffix-matched")
-        entries = self._union([level for _, level in self.levels])
+        entries = self._union([level for _, level, _ in self.levels])
         known = bit_filter(entries, "anchor", anchors, "anchor").join(anchors, "anchor", "left_semi").groupBy("anchor", "run").agg(F.sum("n").alias("n"))
         known = materialise(known, "suffix-known")
         return known.join(known.groupBy("anchor").agg(F.count("*").alias("runs")), "anchor")
