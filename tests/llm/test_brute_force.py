@@ -183,6 +183,25 @@ def test_line_dedup(spark):
         assert out[i] == "\n".join(kept)
 
 
+def test_line_dedup_signs_all_shingles(spark):
+    """Lines with a long token among many words, and repeated words at different lengths, are linked whatever their length."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    pairs = []
+    for _ in range(60):
+        token = "".join(r.choices("0123456789abcdef", k=900))
+        pairs.append([" ".join([token, *(word() for _ in range(18))]) for _ in range(2)])
+    for unit in ("ha ", "buy now ", "- - "):
+        pairs.append([(unit * 100)[:59].strip(), (unit * 100)[:199].strip()])
+    for a, b in pairs:
+        x, y = char_shingles(a), char_shingles(b)
+        assert len(x & y) >= 0.8 * len(x | y)
+    df = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    out = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(df).collect()}
+    assert all(out[i] == 1 for i in range(60, 63))
+    assert sum(out[i] == 1 for i in range(60)) >= 0.9 * 60
+
+
 def plain_repeats(texts, length):
     raw = [t.encode() for t in texts]
     n = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
