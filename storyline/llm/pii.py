@@ -145,9 +145,12 @@ def _patterns() -> dict[str, re.Pattern]:
     words = "|".join(sorted(_VALUE, key=lambda w: (-len(w), w)))
     dot_words = r"(?:dot|d0t|punkt|point|punto|ponto|\.)"
     at_words = r"(?:at|ät|arobase|arroba|chez|@)"
+    label = r"[A-Za-z0-9-]{1,63}"
+    # After a bare at: a domain with a spelled or bracketed dot in it, or one that stands as it is and ends in a name.
+    domain = rf"(?:{label}\.)*+{label}(?:\x20dot\x20|\s{{0,3}}[\[({{<]\s{{0,3}}{dot_words}\s{{0,3}}[\])}}>])|(?:{label}\.)+(?:[A-Za-z]{{2,63}}|xn--[A-Za-z0-9-]{{1,59}})(?![A-Za-z0-9-])"
     return {
         "char": re.compile("[" + re.escape("".join(_characters())) + "]"),
-        "at": re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}{at_words}\s{{0,3}}[\])}}>]\s{{0,3}}|&\#0{{0,3}}64;|&\#x40;|&commat;|(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{{1,63}}(?:\x20dot\x20|\s{{0,3}}[\[({{<]\s{{0,3}}{dot_words}\s{{0,3}}[\])}}>]))", re.I),
+        "at": re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}{at_words}\s{{0,3}}[\])}}>]\s{{0,3}}|&\#0{{0,3}}64;|&\#x40;|&commat;|(?<=[A-Za-z0-9])\x20at\x20(?={domain})", re.I),
         "dot": re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}{dot_words}\s{{0,3}}[\])}}>]\s{{0,3}}|&\#0{{0,3}}46;|&\#x2e;|&period;|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I),
         "digits": re.compile(rf"(?<![^\W_])(?:plus[\s-]{{1,3}})?(?:{words})(?:[\s,-]{{1,3}}(?:{words}|[0-9]{{1,19}})(?![^\W_])){{2,40}}|(?<![^\W_])(?:{words})(?![^\W_])", re.I),
         "spelled": re.compile(rf"(?<![^\W_])(?:{words})(?![^\W_])", re.I),
@@ -190,26 +193,30 @@ def _character_pieces(text: str) -> list[Piece]:
     return [(m.start(), m.end(), table[m.group()]) for m in _patterns()["char"].finditer(text)]
 
 
+def _digit(word: str) -> str:
+    return _VALUE[word.lower().replace("\u0307", "")]
+
+
+def _identifies(run: str) -> bool:
+    """Whether a run of spelled and written digits holds a card's digits, or a plus and a phone's."""
+    digits = _DIGITS.sub("", _patterns()["spelled"].sub(lambda w: _digit(w.group()), run))
+    return 12 <= len(digits) <= 19 and luhn(digits) or run[:4].lower() == "plus" and 9 <= len(digits) <= 15
+
+
 def _word_pieces(text: str) -> list[Piece]:
     """Disguises by words and brackets, and digits spelled or drawn with letters; none overlap."""
     p, found = _patterns(), []
     low = text.lower()
     spaced = " dot " in low
-    if spaced or any(c in low for c in "[({<&"):
+    if spaced or " at " in low or any(c in low for c in "[({<&"):
         found += [(m.start(), m.end(), "@") for m in p["at"].finditer(text)]
         found += [(m.start(), m.end(), ".") for m in p["dot"].finditer(text)]
     found += [(m.start(1), m.end(1), "0" if m.group(1) in "Oo" else "1") for m in p["like"].finditer(text)]
-    # The slow pattern only runs where words for three digits (or one, and a spelled dot) stand somewhere.
-    words = set(low.replace("-", " ").replace(",", " ").replace(".", " ").split())
-    if len({_VALUE[w] for w in words.intersection(_VALUE)}) < (1 if spaced else 3):
-        words = None
-    for m in p["digits"].finditer(text) if words else ():
+    for m in p["digits"].finditer(text) if any(w in low for w in _VALUE) else ():
         spelled = list(p["spelled"].finditer(text, m.start(), m.end()))
-        # Three digits of different values at least: "un un un" is a stutter, not a number.
         near = text[max(0, m.start() - 6) : m.end() + 6].lower()
-        if len({_VALUE[w.group().lower()] for w in spelled}) < 3 and not re.search(r"\bdot\b", near) :
-            continue
-        if len(spelled) < 3 and "dot" not in near:
+        # Three words at least, or a spelled dot; fewer only in a run that is an identifier by itself.
+        if len(spelled) < 3 and "dot" not in near and not _identifies(m.group()):
             continue
         head = re.match(r"plus[\s-]{1,3}", m.group(), re.I)
         if head:
@@ -220,10 +227,10 @@ def _word_pieces(text: str) -> list[Piece]:
             if last is not None:
                 gap = text[last : w.start()]
                 if re.fullmatch(r"[\s,-]{1,3}", gap):
-                    found.append((last, w.end(), _VALUE[w.group().lower()]))
+                    found.append((last, w.end(), _digit(w.group())))
                     last = w.end()
                     continue
-            found.append((w.start(), w.end(), _VALUE[w.group().lower()]))
+            found.append((w.start(), w.end(), _digit(w.group())))
             last = w.end()
     found.sort()
     out: list[Piece] = []

@@ -68,6 +68,21 @@ def test_pii_disguises(text, found):
     assert found in [text[s:e] for s, e, _ in every] and set(base) <= set(every)
 
 
+@pytest.mark.parametrize("kind,found", [
+    ("card", "four two " * 7 + "four two"), ("card", "four " + "one " * 14 + "one"), ("card", "four 242 4242 4242 4242"), ("phone", "plus " + "four two " * 5 + "four"),
+    ("email", "jane at example.com"), ("email", "jane dot doe at example.com"), ("email", "jane at mail.example dot com"), ("email", "jane at mail.example.co.uk"),
+])
+def test_pii_spelled_by_identifier(kind, found):
+    """Identifiers of few different digits, and a bare at before a dotted domain."""
+    text = f"ask: {found}, please"
+    assert (5, 5 + len(found), kind) in pii.spans_of(text)[1]
+
+
+@pytest.mark.parametrize("text", ["he arrived at 10.30 or at 3.5 km", "un " * 15, "two two two and one four one four", "s\u0130x pens at noon"])
+def test_pii_leaves_runs_that_are_no_identifier(text):
+    assert pii.spans_of(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at me dot, at the dot com", "un un un un un un un un un un un un un", "one two three four", "meet at noon dot", "été à Málaga, niño"])
 def test_pii_leaves_clean_texts(text):
     assert pii.spans_of(text) == ([], [])
