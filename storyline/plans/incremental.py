@@ -96,8 +96,8 @@ def stream_day_counts(spark, sf_dir):
 
 @query("""SELECT DISTINCT user_id, event_type FROM events""")
 def stream_dedup_48h(spark, sf_dir):
-    """One row a key of the stream: within one run all rows are in the horizon of the first batch."""
-    return streams.drain(streams.distinct_within(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"])).select("user_id", "event_type")
+    """One row a key of the stream, in whatever batches and order its files come. Keys don't expire after 48 hours: the SQL is DISTINCT over all rows."""
+    return streams.drain(streams.distinct_ever(_event_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]))
 
 
 @query("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN last IS NULL OR ts >= last + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events))

@@ -34,6 +34,11 @@ def distinct_within(rows: DataFrame, keys: list[str], horizon: str = "48 hours")
     return event_time(rows).withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
 
 
+def distinct_ever(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """First row of each key, however late: no key expires, so the keys are the same in any number of batches; the state holds every key."""
+    return rows.dropDuplicates(keys)
+
+
 def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     w = F.session_window("ts", gap)
     out = event_time(rows).withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"))

@@ -106,3 +106,24 @@ def test_streams_equal_batch(spark, tmp_path):
     pending, sent = batch.select(F.col("event_id").alias("cluster_id")).limit(5), []
     send = lambda df: sent.append(df.count())
     assert streams.outbox(spark, str(tmp_path / "sent"), pending, send) == 5 and streams.outbox(spark, str(tmp_path / "sent"), pending, send) == 0 and sent == [5]
+
+
+def test_stream_dedup_over_many_batches(spark, tmp_path):
+    """More files than one trigger takes, out of order: the last files' rows are a month older, and keys come back after weeks."""
+    import datetime as dt
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(215):
+        at = dt.datetime(2024, 3, 1) - dt.timedelta(days=30 * (i >= 105)) + dt.timedelta(days=20 * (i >= 210))
+        pq.write_table(pa.table({"event_id": pa.array([i, 1000 + i], pa.int64()), "ts": pa.array([at, at], pa.timestamp("us")), "user_id": pa.array([i, i % 3], pa.int64()), "event_type": ["a", None if i % 3 == 2 else "b"], "value": [1.0, 1.0], "props": ["{}", "{}"]}), folder / f"part-{i:03}.parquet")
+        os.utime(folder / f"part-{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = entry.queries()["stream_dedup_48h"](spark, str(tmp_path))
+    assert got.columns == ["user_id", "event_type"]
+    assert rows(got) == rows(spark.read.parquet(str(folder)).select("user_id", "event_type").distinct())
