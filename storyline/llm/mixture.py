@@ -1,10 +1,11 @@
-"""Mixing sources to target weights: Pareto order sampling after allocating certain whole copies.
+"""Mixing sources to target weights: random order sampling after allocating certain whole copies.
 
 A source that is to give ``target`` words and has ``source_size`` is taken ``target / source_size`` times on
 average. Each of its documents is certain to be taken as many whole times as that ratio's floor. For the
 fraction f that is left, each document gets the random odds u / (1 - u), u from a hash of its id, divided by
 its inclusion odds f / (1 - f); documents are taken once more in the order of that quotient until their words
-reach the rest of the target. The cut is found without sorting a source in one task: words are summed in
+reach the rest of the target. As f is one number a source and documents are ranked within it, this Pareto order is
+simple random order: the odds do not change who is chosen. The cut is found without sorting a source in one task: words are summed in
 buckets of the order, first 4096 wide for the whole source, then 4096 within the bucket that holds the cut,
 and only the documents of that last bucket are ordered one by one. At last at most one document a source is
 turned (taken or left) if that brings the source nearer to its target.
