@@ -1,19 +1,24 @@
-"""Mixing sources to target weights: random order sampling after allocating certain whole copies.
+"""Mixing sources to target weights: Pareto order sampling after allocating certain whole copies.
 
 A source that is to give ``target`` words and has ``source_size`` is taken ``target / source_size`` times on
-average. Each of its documents is certain to be taken as many whole times as that ratio's floor. For the
-fraction f that is left, each document gets the random odds u / (1 - u), u from a hash of its id, divided by
-its inclusion odds f / (1 - f); documents are taken once more in the order of that quotient until their words
-reach the rest of the target. As f is one number a source and documents are ranked within it, this Pareto order is
-simple random order: the odds do not change who is chosen. The cut is found without sorting a source in one task: words are summed in
-buckets of the order, first 4096 wide for the whole source, then 4096 within the bucket that holds the cut,
-and only the documents of that last bucket are ordered one by one. At last at most one document a source is
+average. Each of its documents is certain to be taken as many whole times as that ratio's floor. The words that are
+left, the rest, come from a sample without replacement of unequal probabilities: a document is included once more
+with probability proportional to its size, p = min(1, c * size), where c makes the expected words the rest. Those
+with p = 1 are certain. The others get the random odds u / (1 - u), u from a hash of the id, divided by their
+inclusion odds p / (1 - p), and are taken in the order of that quotient: a Pareto order sample. Its size is fixed in
+words, as targets are: the order is cut where the words reach the rest, and then at most one document a source is
 turned (taken or left) if that brings the source nearer to its target.
 
+``c`` is found from sums by size, in steps of a 64th of an octave, so a source is some two thousand rows at most. The
+cut is found without sorting a source in one task: words are summed in buckets of the order, first 4096 for the
+whole source, then 4096 within the bucket that holds the cut, and only the documents of that last bucket are ordered
+one by one.
+
 Null and blank texts have size 0 and are never counted as taken. A null source is a source of its own, the
 last. Rows with equal ids get equal random numbers and are ordered by size and a hash of the text; rows that
 are equal in all of these are exchangeable and are told apart by their order in the last bucket only. A source
-without words has target 0. An empty table gives an empty result. Extra columns are ignored.
+without words has target 0. Texts may have any length, only their sizes travel. An empty table gives an empty
+result. Extra columns are ignored; a column to ``keep`` that is named like one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -65,6 +70,18 @@ def _cut(parts: DataFrame, bucket: str, *keep: str) -> DataFrame:
     return run.where((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).select("source", "rest", "before", bucket, *keep)
 
 
+def _slopes(live: DataFrame) -> DataFrame:
+    """Of each source the c for which the expected words of min(1, c * size) are its rest."""
+    step = F.floor(F.log2(F.col("size").cast("double")) * 64)
+    size = F.col("size").cast("double")
+    parts = live.groupBy("source", step.alias("step")).agg(F.sum(size).alias("words"), F.sum(size * size).alias("squares"), F.min(size).alias("low"), F.first("rest").alias("rest"))
+    upto = Window.partitionBy("source").orderBy("step")
+    certain = F.sum("words").over(Window.partitionBy("source")) - F.sum("words").over(upto)
+    slope = (F.col("rest") - certain) / F.sum("squares").over(upto)
+    fitting = parts.select("source", "step", "low", slope.alias("slope")).where((F.col("slope") > 0) & (F.col("slope") * F.col("low") <= 1))
+    return fitting.groupBy("source").agg(F.max_by("slope", "step").alias("slope"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """All documents with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted), ``copies`` and the columns to ``keep`` (but for those names)."""
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
@@ -72,21 +89,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = materialise(docs.select(*measures), "mix-sizes")
     per_source = targets(sized, "source", share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per_source = per_source.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    f = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    per_source = F.broadcast(per_source.withColumn("odds", F.greatest(f, F.lit(1e-12)) / F.greatest(1 - f, F.lit(1e-12))))
-    # q: the Pareto rank. The buckets are of its rank under equal odds, so that each holds a like share of a source.
-    def rank(rows: DataFrame) -> DataFrame:
+    per_source = F.broadcast(per_source)
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+
+    def of_source(rows: DataFrame) -> DataFrame:
         own = per_source.withColumnRenamed("source", "__source")
+        return rows.join(own, rows["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
+
+    wanted = of_source(sized).where((F.col("rest") > 0) & (F.col("size") > 0))
+    slopes = F.broadcast(materialise(_slopes(wanted.select(key.alias("source"), "size", "rest")), "mix-slopes").withColumnRenamed("source", "key"))
+
+    def rank(rows: DataFrame) -> DataFrame:
+        """With p, the probability of inclusion, q, the Pareto rank, and its buckets."""
+        p = F.least(F.lit(1.0), F.coalesce(F.col("slope") * F.col("size"), F.col("rest") / F.col("source_size")))
+        with_p = of_source(rows).withColumn("key", key).join(slopes, "key", "left").withColumn("p", F.when((F.col("rest") > 0) & (F.col("size") > 0), p))
         return (
-            rows.join(own, rows["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
-            .withColumn("q", F.col("u") / (1 - F.col("u")) / F.col("odds"))
-            .withColumn("share", F.col("q") * F.col("odds") / (1 + F.col("q") * F.col("odds")))
-            .withColumn("b1", F.least(F.floor(F.col("share") * BUCKETS), F.lit(BUCKETS - 1)))
+            with_p.withColumn("q", F.when(F.col("p") >= 1, 0.0).when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")))
+            .withColumn("share", F.col("q") / (1 + F.col("q")))
+            .withColumn("b1", F.when(F.col("p") >= 1, -1).otherwise(F.least(F.floor(F.col("share") * BUCKETS), F.lit(BUCKETS - 1))))
             .withColumn("b2", F.least(F.floor((F.col("share") * BUCKETS - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)))
         )
 
     ranked = rank(sized)
-    live = ranked.where((F.col("rest") > 0) & (F.col("size") > 0)).withColumn("source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+    live = ranked.where(F.col("p") > 0).withColumn("source", F.col("key"))
     first = _cut(live.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1")
     inside = live.join(F.broadcast(first.select("source", "b1", F.col("before").alias("before1"))), ["source", "b1"])
     second = _cut(
@@ -104,10 +129,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 F.when(F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size")), F.col("upto")).otherwise(F.col("upto") - F.col("size")).alias("got"))
     )
     cuts = materialise(last.select("source", F.struct("q", "id", F.col("cut_size").alias("size"), "th").alias("cut"), "with_cut", "got"), "mix-cuts")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     place = F.struct("q", "id", "size", "th")
     choose = lambda rows: (
-        rows.withColumn("key", key).join(F.broadcast(cuts.withColumnRenamed("source", "key")), "key", "left")
+        rows.join(F.broadcast(cuts.withColumnRenamed("source", "key")), "key", "left")
         .withColumn("extra", F.coalesce(F.when(F.col("size") > 0, (place < F.col("cut")) | ((place == F.col("cut")) & F.col("with_cut"))), F.lit(False)))
     )
     # One document a source may be turned: the one whose size is nearest to what the source is off by.

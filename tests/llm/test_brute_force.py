@@ -268,6 +268,80 @@ def test_mixture_meets_targets(spark):
         assert {x["target"] for x in out if x["source"] == s} == {t}
 
 
+def plain_targets(sizes, share, most):
+    """Weights 3, 1, 2 in turn; sources that would exceed ``most`` sizes stop there one by one, the rest is dealt anew."""
+    weight, stopped, total = [(3, 1, 2)[i % 3] for i in range(len(sizes))], set(), share * sum(sizes)
+    while True:
+        left = total - sum(most * sizes[i] for i in stopped)
+        open_ = [i for i in range(len(sizes)) if i not in stopped]
+        got = {i: left * weight[i] / sum(weight[k] for k in open_) for i in open_}
+        over = [i for i in open_ if got[i] > most * sizes[i]]
+        if not over:
+            return [got.get(i, most * sizes[i]) for i in range(len(sizes))]
+        stopped |= set(over)
+
+
+def plain_pareto(docs, rest):
+    """docs: (id, size, u). The ids that a Pareto order sample of unequal probabilities takes up to ``rest`` words."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * s) * s for _, s, _ in docs) < rest else (low, c)
+    p = {i: min(1.0, c * s) for i, s, _ in docs}
+    order = sorted(docs, key=lambda d: (0.0 if p[d[0]] > 1 - 1e-9 else d[2] / (1 - d[2]) * (1 - p[d[0]]) / p[d[0]], d[0]))
+    taken, words = [], 0
+    for i, s, _ in order:
+        if words + s >= rest:
+            if words + s - rest <= rest - words:
+                taken, words = [*taken, i], words + s
+            break
+        taken, words = [*taken, i], words + s
+    return set(taken), words, p
+
+
+def test_mixture_is_a_pareto_sample(spark):
+    """But for at most one turned document a source, the copies are those of a plain Pareto order sample; targets are a plain loop's."""
+    r = random.Random(21)
+    rows = [(i, " ".join(["w"] * r.choice([1, 2, 5, 9, 17, 33, 61, 88])), r.choice("aaabbcd")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = dict(df.selectExpr("doc_id", f"(pmod(xxhash64(doc_id, 17), {1 << 52}L) + 0.5D) / {1 << 52}L as u").collect())
+    out = {x["doc_id"]: x for x in mixture.mix(df).collect()}
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[s].append((i, len(t.split()), u[i]))
+    sizes = [sum(d[1] for d in by[s]) for s in sorted(by)]
+    unequal = 0
+    for s, n, target in zip(sorted(by), sizes, plain_targets(sizes, 1.5, 2.0)):
+        assert all(abs(out[i]["target"] - target) < 1e-6 for i, _, _ in by[s])
+        whole = int(target // n)
+        rest = target - whole * n
+        if rest < 1e-6:
+            continue
+        want, words, p = plain_pareto(by[s], rest)
+        got = {i for i, _, _ in by[s] if out[i]["copies"] > whole}
+        assert len(want ^ got) <= 1 and all(out[i]["copies"] - whole in (0, 1) for i, _, _ in by[s])
+        assert abs(sum(out[i]["taken"] for i, _, _ in by[s]) - target) <= abs(words - rest) + 1e-6
+        unequal += len({round(x, 9) for x in p.values()}) > 1
+    assert unequal
+
+
+def test_mixture_includes_by_size(spark):
+    """Over seeds, documents are taken as often as their inclusion probabilities say."""
+    rows = [(i, " ".join(["w"] * (10 + 20 * (i % 4))), "b" if i < 400 else "a") for i in range(440)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    often, p = Counter(), {}
+    for seed in range(6):
+        for x in mixture.mix(df, seed=seed, share=0.5).collect():
+            if x["source"] == "b":
+                often[x["size"]] += x["copies"]
+                p[x["size"]] = x["target"] / x["source_size"]
+    df.unpersist()
+    sizes = [10, 30, 50, 70]
+    c = p[10] * sum(sizes) / sum(s * s for s in sizes)
+    for s in sizes:
+        assert abs(often[s] / 600 - min(1, c * s)) < 0.06
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     out = quality.score_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
