@@ -58,7 +58,9 @@ FINANCIAL_PHRASES = (
     "demonstracao de fluxo de caixa", "demonstração das mutações do patrimônio", "demonstracao das mutacoes", "relatório dos auditores independentes",
     "relatorio dos auditores", "valores expressos em milhares de reais", "controladora consolidado",
 )
+# Titles that say nothing.
 GENERIC_TITLES = ("sem título", "sem titulo", "notícia sem título", "noticias sem titulo", "novo cluster", "grupo lote")
+# The pattern of public debt.
 DEBT_PATTERN = r"(?i)\b(certid[aã]o\s+de\s+d[ií]vida\s+ativa|\bCDA\b|d[ií]vida\s+ativa|protesto\s+de\s+CDA|securitiza[cç][aã]o\s+de\s+d[ií]vida\s+ativa|precat[óo]ri|\bFCVS\b)\b"
 
 # Outlets by normal form, and the names they are shown by, in the order in which names are tried.
@@ -75,13 +77,18 @@ OUTLET_NAMES = {
     "o globo": "O Globo", "gazeta": "Gazeta do Povo", "correio braziliense": "Correio Braziliense", "broadcast": "Broadcast", "reset": "Reset",
     "wall street journal": "The Wall Street Journal", "wsj": "The Wall Street Journal", "new york times": "The New York Times", "nyt": "The New York Times",
 }
-OUTLET_JUNK = r"(?i)^(?:[a-z0-9_]{2,20}$|json.?dump$|fonte.?desconhecida$|n/?a$|sem.?fonte$|unknown$|dump.?crawlers|noticias_.+_paginated$|noticias_.+_ultimas)"
+# Patterns of names that are no outlet.
+OUTLET_JUNK = "(?i)" + "|".join((
+    r"^[a-z0-9_]{2,20}$", r"^json.?dump$", r"^fonte.?desconhecida$", r"^n/?a$", r"^sem.?fonte$", r"^unknown$", r"^dump.?crawlers", r"^noticias_.+_paginated$", r"^noticias_.+_ultimas",
+))
+# Foreign outlets, short list.
 FOREIGN_OUTLETS_SHORT = (
     "financial times", "ft ", " ft", "ft.com", "ft weekend", "ftweekend", "bloomberg", "reuters", "associated press", "ap ", "ap news", "wall street journal", "wsj",
     "new york times", "nyt", "washington post", "wapo", "the guardian", "guardian", "bbc", "cnn", "cnbc", "the economist", "forbes", "marketwatch", "barron", "barron's",
     "the telegraph", "the times", "usa today", "los angeles times", "la times", "chicago tribune", "axios", "politico", "the hill", "nikkei", "japan times",
     "south china morning post", "scmp", "al jazeera", "sky news", "the hindu", "times of india",
 )
+# Foreign outlets.
 FOREIGN_OUTLETS = (
     "new york times", "nyt", "wall street journal", "wsj", "financial times", "ft", "bloomberg", "reuters", "associated press", "ap", "washington post", "the guardian",
     "bbc", "cnn", "cnbc", "the economist", "forbes", "business insider", "marketwatch", "barrons", "barron's", "the telegraph", "the times", "daily mail", "usa today",
@@ -91,6 +98,7 @@ FOREIGN_OUTLETS = (
     "korea herald", "south china morning post", "scmp", "the hindu", "times of india", "dawn", "the nation", "jerusalem post", "haaretz", "al arabiya", "gulf news",
     "arab news", "the national", "daily star", "the star",
 )
+# National outlets.
 NATIONAL_OUTLETS = (
     "folha", "folha de s. paulo", "folha de são paulo", "folha de s.paulo", "estadao", "estadão", "estado de s. paulo", "estado de são paulo", "o estado de s. paulo",
     "globo", "o globo", "g1", "valor", "valor economico", "valor econômico", "uol", "r7", "veja", "exame", "istoé", "istoe", "época", "epoca", "correio braziliense",
@@ -103,6 +111,7 @@ PORTUGUESE_WORDS = (
     " de ", " do ", " da ", " dos ", " das ", " que ", " em ", " para ", " por ", " com ", " não ", " ao ", " aos ", " aos ", " uma ", " sua ", " seu ", " seus ",
     " suas ", " é ", " foi ", " são ", " estar ", " como ", " sobre ", " entre ", " contra ", " pela ", " pelas ",
 )
+# Stop-words.
 STOPWORDS = ("de", "da", "do", "dos", "das", "e", "em", "o", "a", "os", "as", "um", "uma", "para", "com", "por", "no", "na", "nos", "nas", "ao", "se", "que", "como",
              "mais", "entre", "sobre", "sua", "seu", "ser", "ter", "foi", "sao", "tem")
 # Entity names by normal form.
@@ -119,9 +128,32 @@ ENTITY_ALIASES = {
     "oi": "Oi S.A.", "gol": "GOL Linhas Aereas", "azul": "Azul S.A.", "latam": "LATAM Airlines", "jbs": "JBS S.A.", "ambev": "Ambev S.A.",
     "eletrobras": "Eletrobras S.A.", "sabesp": "Sabesp S.A.",
 }
+# Companies.
 COMPANIES = ("petrobras", "vale", "itau", "bradesco", "btg pactual", "americanas", "oi", "gol", "azul", "latam", "jbs", "ambev", "eletrobras", "sabesp", "magazine luiza",
              "via varejo", "renner", "marfrig", "minerva", "suzano", "klabin", "cemig", "copel", "equatorial", "neoenergia", "hapvida", "rede d'or", "fleury", "dasa",
              "embraer", "weg", "localiza", "movida", "cosan", "rumo", "raizen")
+# Agencies.
 AGENCIES = ("banco central", "bacen", "cvm", "carf", "stf", "stj", "pgfn", "receita federal", "bndes", "cade", "anatel", "aneel", "copom", "tesouro nacional", "b3")
 # Prices in USD of a million tokens (in, out).
 MODEL_PRICES = ((2.50, 15.00), (0.30, 2.50), (0.10, 0.40), (0.15, 0.60))
+
+# The canonical tags.
+NATIONAL_TAGS = (
+    "M&A e Transações Corporativas", "Jurídico, Falências e Regulatório", "Dívida Ativa e Créditos Públicos", "Distressed Assets e NPLs",
+    "Mercado de Capitais e Finanças Corporativas", "Política Econômica (Brasil)", "Internacional (Economia e Política)", "Tecnologia e Setores Estratégicos",
+    "Divulgação de Resultados", "IRRELEVANTE",
+)
+INTERNATIONAL_TAGS = (
+    "Global M&A and Corporate Transactions", "Global Legal and Regulatory", "Sovereign Debt and Credit", "Global Distressed and Restructuring", "Global Capital Markets",
+    "Central Banks and Monetary Policy", "Geopolitics and Trade", "Technology and Innovation", "IRRELEVANTE",
+)
+DEFAULT_INTERNATIONAL_TAG = "Geopolitics and Trade"
+# Tags of an earlier version -> canonical tags.
+OLD_TAGS = {
+    "Economia e Tecnologia": "Internacional (Economia e Política)", "Governo e Politica": "Política Econômica (Brasil)", "Judicionario": "Jurídico, Falências e Regulatório",
+    "Empresas Privadas": "Mercado de Capitais e Finanças Corporativas",
+}
+# Scores of migrated records by priority, and of any other priority.
+MIGRATED_SCORES = {"P1_CRITICO": 85.0, "P2_ESTRATEGICO": 65.0}
+MIGRATED_SCORE, MIGRATED_PRIORITY, MIGRATED_REASON = 35.0, "P3_MONITORAMENTO", "Migrado: Classificado como "
+LEGACY_TAG, UNKNOWN = "Empresas Privadas", "N/A"

@@ -22,31 +22,48 @@ def field_or(col: Column, name: str, default: Column) -> Column:
     return F.when(has_field(col, name), field(col, name)).otherwise(default)
 
 
+def _valid(text: Column) -> Column:
+    """Whether a text that begins with a bracket is one JSON value and nothing more: as the only element of an array it parses, and there is no second."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.try_parse_json(text).isNotNull() & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "string").isNull()
+
+
 def extract_json(reply: Column) -> Column:
-    """The JSON text in a model's reply: a fenced block, else from the first brace or bracket to the last."""
-    fenced = present(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1))
-    bare = present(F.regexp_extract(reply, r"(?s)([\[{].*[\]}])", 1))
-    return F.trim(F.coalesce(fenced, bare))
+    """The JSON text in a model's reply: a fenced block, else from the first brace or bracket to the end."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    bare = F.regexp_extract(reply, r"(?s)([\[{].*)$", 1)
+    return present(F.trim(F.when(reply.rlike(r"(?s)```(?:json)?\s*.*?\s*```"), fenced).otherwise(F.rtrim(bare))))
+
+
+# Characters that are dropped, commas before a closing bracket, and the order in which open brackets are closed.
+CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+TRAILING_COMMA = r",\s*([}\]])"
+CLOSED_IN_TURN = (("[", "]"), ("{", "}"))
 
 
 def repair_json(text: Column) -> Column:
-    """Drops control characters and trailing commas, and closes brackets that were left open."""
-    s = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r",\s*([\]}])", "$1")
-    bare = F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', "")
-    missing = lambda o, c: F.greatest(F.regexp_count(bare, F.lit(o)) - F.regexp_count(bare, F.lit(c)), F.lit(0))
-    return F.concat(F.regexp_replace(s, r",\s*$", ""), F.repeat(F.lit("}"), missing(r"\{", r"\}")), F.repeat(F.lit("]"), missing(r"\[", r"\]")))
+    """Drops fences, control characters and trailing commas, and appends a closer for every bracket that has none."""
+    out = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("```"), F.lit("")), CONTROL_CHARACTERS, ""), TRAILING_COMMA, "$1")
+    number = lambda c, x: F.char_length(c) - F.char_length(F.replace(c, F.lit(x), F.lit("")))
+    missing = [F.repeat(F.lit(shut), F.greatest(number(out, open_) - number(out, shut), F.lit(0))) for open_, shut in CLOSED_IN_TURN]
+    return F.concat(out, *missing)
+
+
+def cut_json(text: Column) -> Column:
+    """A repaired text up to its last closing bracket, closed once more if it is an array left open; null without a closer."""
+    cut = F.regexp_extract(text, r"(?s)^(.*[}\]])", 1)
+    number = lambda x: F.char_length(cut) - F.char_length(F.replace(cut, F.lit(x), F.lit("")))
+    return F.when(cut != "", F.when(cut.startswith("[") & (number("[") > number("]")), F.concat(cut, F.lit("]"))).otherwise(cut))
 
 
 def parse_reply(reply: Column) -> Column:
-    """struct(status, json): EMPTY, NO_JSON, OK, REPAIRED, QUOTES (single quotes swapped) or INVALID."""
+    """struct(status, json): EMPTY, NO_JSON, OK, REPAIRED, TRUNCATED (cut at the last closing bracket) or INVALID."""
     found = extract_json(reply)
-    fixed, swapped = repair_json(found), repair_json(F.translate(found, "'", '"'))
-    valid = lambda c: F.try_parse_json(c).isNotNull()
-    status = (
-        F.when(reply.isNull() | (F.trim(reply) == ""), "EMPTY").when(found.isNull(), "NO_JSON").when(valid(found), "OK").when(valid(fixed), "REPAIRED")
-        .when(valid(swapped), "QUOTES").otherwise("INVALID")
-    )
-    return F.struct(status.alias("status"), F.when(status == "OK", found).when(status == "REPAIRED", fixed).when(status == "QUOTES", swapped).alias("json"))
+    fixed = repair_json(found)
+    cut = cut_json(fixed)
+    blank = reply.isNull() | ~reply.rlike(r"(?U)\S")
+    status = F.when(blank, "EMPTY").when(found.isNull(), "NO_JSON").when(_valid(found), "OK").when(_valid(fixed), "REPAIRED").when(_valid(cut), "TRUNCATED").otherwise("INVALID")
+    return F.struct(status.alias("status"), F.when(status == "OK", found).when(status == "REPAIRED", fixed).when(status == "TRUNCATED", cut).alias("json"))
 
 
 def salvage_fields(reply: Column, *names: str) -> list[Column]:
@@ -71,6 +88,40 @@ def salvage_decisions(reply: Column) -> Column:
     return F.filter(rows, lambda r: r["kind"].isin("anexar", "novo_cluster") & r["article"].isNotNull())
 
 
+def _objects(reply: Column) -> Column:
+    """The texts from each opening brace to the next closing one."""
+    return F.regexp_extract_all(reply, F.lit(r"(?s)(\{.*?\})"), F.lit(1))
+
+
+def _number(text: Column, name: str) -> Column:
+    return F.regexp_extract(text, rf'"{name}"\s*:\s*(\d+)', 1).try_cast("long")
+
+
+def salvage_merges(reply: Column) -> Column:
+    """array<struct(kind, target, sources, cluster, title, tag, priority)> of merge and keep suggestions; merges without a target or sources are left out."""
+    string = lambda o, n: present(F.trim(F.regexp_extract(o, rf'(?s)"{n}"\s*:\s*"(.*?)"', 1)))
+
+    def suggestion(o: Column) -> Column:
+        kind = present(F.lower(F.regexp_extract(o, r'(?i)"tipo"\s*:\s*"(merge|keep)"', 1)))
+        merge = kind == "merge"
+        digits = F.transform(F.split(F.regexp_extract(o, r'(?s)"fontes"\s*:\s*\[([^\]]*)\]', 1), r"[,\s]+"), lambda t: F.regexp_replace(t, "[^0-9]", "").try_cast("long"))
+        priority = present(F.regexp_extract(o, r'"nova_prioridade"\s*:\s*"(P1_CRITICO|P2_ESTRATEGICO|P3_MONITORAMENTO)"', 1))
+        return F.struct(
+            kind.alias("kind"), F.when(merge, _number(o, "destino")).alias("target"), F.when(merge, F.filter(digits, lambda d: d.isNotNull())).alias("sources"),
+            F.when(~merge, _number(o, "cluster_id")).alias("cluster"), F.when(merge, string(o, "novo_titulo")).alias("title"), F.when(merge, string(o, "nova_tag")).alias("tag"), F.when(merge, priority).alias("priority"),
+        )
+
+    whole = lambda m: (m["kind"] == "keep") | ((F.coalesce(m["target"], F.lit(0)) != 0) & (F.size(m["sources"]) > 0))
+    return F.filter(F.transform(_objects(reply), suggestion), lambda m: m["kind"].isNotNull() & whole(m))
+
+
+def salvage_priorities(reply: Column) -> Column:
+    """array<struct(id, priority, tag)> of an executive ranking, also where the reply breaks off."""
+    decision = r'"decisao_prioridade_final"\s*:\s*"(P1_CRITICO|P2_ESTRATEGICO|P3_MONITORAMENTO|IRRELEVANTE)"'
+    rows = F.transform(_objects(reply), lambda o: F.struct(_number(o, "id").alias("id"), present(F.regexp_extract(o, decision, 1)).alias("priority"), present(F.regexp_extract(o, r'"tag_final"\s*:\s*"(.*?)"', 1)).alias("tag")))
+    return F.filter(rows, lambda r: r["id"].isNotNull() & r["priority"].isNotNull())
+
+
 def missing_placeholders(template: Column, required: list[str]) -> Column:
     used = F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
     return F.array_except(F.array(*(F.lit(r) for r in required)).cast("array<string>"), used)

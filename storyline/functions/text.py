@@ -56,6 +56,31 @@ def fix_tag(tag: Column) -> Column:
     return F.when(tag.isNull() | (tag == ""), D.DEFAULT_TAG).otherwise(found)
 
 
+def canonical_tag(tag: Column, international: Column) -> Column:
+    """The canonical tag of a model's tag: the same but for case, else the corrected one if it is canonical, else the default."""
+
+    def within(tags: tuple[str, ...], default: str) -> Column:
+        by_case = {t.lower(): t for t in tags}
+        trimmed = strip(tag)
+        found = F.coalesce(F.when(trimmed.isin(*tags), trimmed), lookup(by_case, F.lower(trimmed)), lookup(by_case, F.lower(fix_tag(trimmed))), F.lit(default))
+        return F.when(tag.isNull() | (trimmed == ""), default).otherwise(found)
+
+    return F.when(international, within(D.INTERNATIONAL_TAGS, D.DEFAULT_INTERNATIONAL_TAG)).otherwise(within(D.NATIONAL_TAGS, D.DEFAULT_TAG))
+
+
+def migrated_tag(tag: Column) -> Column:
+    return F.coalesce(lookup(D.OLD_TAGS, tag), F.lit(D.DEFAULT_TAG))
+
+
+def migrated_score(priority: Column, score: Column, reason: Column) -> tuple[Column, Column]:
+    """A record's score and reason; where one is null both are filled by its priority, a score of 0 counting as absent."""
+    known = priority.isin(*D.MIGRATED_SCORES)
+    absent = score.isNull() | reason.isNull()
+    filled = F.when(score != 0, score).otherwise(F.coalesce(lookup(D.MIGRATED_SCORES, priority), F.lit(D.MIGRATED_SCORE)))
+    why = F.concat(F.lit(D.MIGRATED_REASON), F.when(known, priority).otherwise(D.MIGRATED_PRIORITY))
+    return F.when(absent, filled).otherwise(score), F.when(absent, F.when(reason != "", reason).otherwise(why)).otherwise(reason)
+
+
 def fix_priority(priority: Column) -> Column:
     return F.when(priority.isin(*D.PRIORITIES), priority).otherwise(D.IRRELEVANT)
 

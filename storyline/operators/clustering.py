@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions import text as T
+from storyline.shared import shared_path
 
 
 def leader_clusters(rows: DataFrame, block: str, threshold: float = 0.7, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -53,10 +51,9 @@ def title_key(title) -> F.Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id that links reach. Labels spread along edges and jump to their label's label each round."""
     spark = edges.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyline-")
 
     def cut(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/labels-{uuid.uuid4().hex}"
+        path = shared_path(spark, "labels")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

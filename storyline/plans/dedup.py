@@ -42,10 +42,10 @@ def components_near_dup(spark, sf_dir):
     return clustering.components(near_dup_jaccard(spark, sf_dir), "a_id", "b_id")
 
 
-@query("""SELECT trim(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', ' ', 'g')) AS key, lang, min(doc_id) AS target, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1, 2""")
+@query("""SELECT trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS key, lang, min(doc_id) AS target, count(*) AS n FROM documents GROUP BY 1, 2""")
 def exact_merge_to_min_id(spark, sf_dir):
-    d = C.table(spark, sf_dir, "documents").where("lang = 'en'")
-    return clustering.merge_equal(d, [clustering.title_key(F.substring("text", 1, 12)).alias("key"), "lang"], "doc_id")
+    d = C.table(spark, sf_dir, "documents")
+    return clustering.merge_equal(d, [clustering.title_key(F.col("text")).alias("key"), "lang"], "doc_id")
 
 
 @query("""WITH s AS (SELECT doc_id, sha256(text) AS h, source FROM documents WHERE doc_id % 2 = 0), n AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)

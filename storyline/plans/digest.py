@@ -70,9 +70,9 @@ def digest_without_repeats(spark, sf_dir):
     return A.digest_without_repeats(items, near_dup_jaccard(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS cluster_id, CASE WHEN contains(text, 'precat') OR doc_id % 9 = 0 THEN 'Dívida Ativa e Créditos Públicos' ELSE 'x' END AS tag FROM documents WHERE doc_id < 200""")
+@query("""SELECT doc_id AS cluster_id, CASE WHEN contains(text, 'precat') OR doc_id % 9 = 0 THEN 'Dívida Ativa e Créditos Públicos' ELSE 'x' END AS tag FROM documents""")
 def corrected_tags(spark, sf_dir):
-    d = C.table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("cluster_id"), "text")
+    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cluster_id"), "text")
     none = F.lit(None).cast("string")
     clusters = d.select("cluster_id", F.lit("x").alias("tag"), none.alias("title"), F.when(F.col("cluster_id") % 9 == 0, F.lit("Protesto de CDA em alta")).alias("summary"))
     return A.correct_tags(clusters, d.select("cluster_id", none.alias("title"), "text")).select("cluster_id", "tag")

@@ -69,13 +69,13 @@ def feedback_summary(spark, sf_dir):
 
 @query(f"""WITH {_CLUSTERS}, {_ARTICLES}
 SELECT c.cluster_id, c.priority, c.created_at, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY a.created_at DESC, article_id) AS articles, count(article_id) AS n
-FROM clusters c LEFT JOIN arts a ON c.cluster_id = a.cluster_id WHERE c.cluster_id < 500 GROUP BY 1, 2, 3""")
+FROM clusters c LEFT JOIN arts a ON c.cluster_id = a.cluster_id GROUP BY 1, 2, 3""")
 def cluster_details(spark, sf_dir):
     """Clusters with their articles nested, newest first."""
-    arts = C.cluster_articles(spark, sf_dir).where("cluster_id < 500").select("cluster_id", "article_id", F.col("created_at").alias("at"))
+    arts = C.cluster_articles(spark, sf_dir).select("cluster_id", "article_id", F.col("created_at").alias("at"))
     order = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("newest"), "article_id")))
     agg = arts.groupBy("cluster_id").agg(order.alias("a"))
-    out = C.clusters(spark, sf_dir).where("cluster_id < 500").join(agg, "cluster_id", "left")
+    out = C.clusters(spark, sf_dir).join(agg, "cluster_id", "left")
     ids = F.array_join(F.transform("a", lambda x: x["article_id"].cast("string")), ",")
     return out.select("cluster_id", "priority", "created_at", ids.alias("articles"), F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("n"))
 
@@ -135,10 +135,10 @@ def day_temperature(spark, sf_dir):
     return O.day_temperature(O.relevant(C.clusters(spark, sf_dir)).join(tags, "owner_id")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ':' || substr(text, 1, 40), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
 def conversation_history(spark, sf_dir):
-    t = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 40).alias("head")))).alias("t"))
-    return t.select("conv_id", "turns", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(":"), x["head"])), "\n").alias("transcript"))
+    t = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return t.select("conv_id", "turns", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n").alias("transcript"))
 
 
 @query(f"""WITH {_CLUSTERS}, {_ARTICLES} SELECT CAST(ceil(row_number() OVER (PARTITION BY priority ORDER BY cluster_id) / 200.0) AS BIGINT) AS batch, cluster_id, priority FROM clusters WHERE status = 'ativo'""")

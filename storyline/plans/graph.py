@@ -75,7 +75,7 @@ SELECT c.cluster_id, c.source_type, count(*) AS n FROM c JOIN arts a ON a.cluste
 def type_divergence(spark, sf_dir):
     """Clusters whose articles' sources are of another type, and how many."""
     c = C.clusters(spark, sf_dir).select("cluster_id", F.when(F.col("cluster_id") % 2 == 0, "internacional").otherwise("brasil_fisico").alias("source_type"))
-    a = C.cluster_articles(spark, sf_dir).join(F.broadcast(C.sources(spark, sf_dir)), "source_id").groupBy("cluster_id", F.col("source_type").alias("own")).agg(F.count("*").alias("k"))
+    a = C.cluster_articles(spark, sf_dir).join(C.sources(spark, sf_dir), "source_id").groupBy("cluster_id", F.col("source_type").alias("own")).agg(F.count("*").alias("k"))
     return c.join(a, "cluster_id").where("own <> source_type").groupBy("cluster_id", "source_type").agg(F.sum("k").alias("n"))
 
 

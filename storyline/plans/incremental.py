@@ -22,12 +22,12 @@ def high_water_mark(spark, sf_dir):
     return S.high_water_mark(C.table(spark, sf_dir, "events"), "ts")
 
 
-@query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 600), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey BETWEEN 400 AND 900)
+@query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 5 IN (0, 1, 2))
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
 def upsert_preferences(spark, sf_dir):
     c = C.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = c.where("c_custkey between 400 and 900").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("*"))).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return S.upsert(c.where("c_custkey < 600"), new, ["c_custkey"])
+    new = c.where("c_custkey % 5 in (0, 1, 2)").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("*"))).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return S.upsert(c.where("c_custkey % 5 <> 0"), new, ["c_custkey"])
 
 
 @query(f"""WITH {_CLUSTERS}, m AS (SELECT cluster_id AS source, cluster_id - 1 AS target FROM clusters WHERE cluster_id % 10 = 1 AND cluster_id > 1),

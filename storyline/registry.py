@@ -23,9 +23,9 @@ def query(sql: str | None = None):
 
 
 def dispatch(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs a query by name; unknown names give an error row, as tools expect."""
+    """Runs a query by name."""
     if name not in QUERIES:
-        return spark.createDataFrame([(f"unknown query: {name}",)], "error string")
+        raise KeyError(f"unknown query: {name}")
     return QUERIES[name](spark, sf_dir)
 
 

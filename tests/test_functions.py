@@ -80,7 +80,10 @@ def test_dates(spark):
 
 
 def test_json(spark):
-    cases = {'```json\n[1]\n```': "OK", 'x {"a": [1, 2,]} y': "REPAIRED", "{'a': 'b'}": "QUOTES", "none": "NO_JSON", "": "EMPTY", None: "EMPTY", '{"a": }': "INVALID"}
+    cases = {
+        '```json\n[1]\n```': "OK", 'x {"a": [1, 2,]} y': "TRUNCATED", 'x {"a": [1, 2,]}': "REPAIRED", "{'a': 'b'}": "INVALID", "none": "NO_JSON", "": "EMPTY", None: "EMPTY", '{"a": }': "INVALID",
+        '[{"a": [1, 2': "INVALID", '{"k": [1, {"b": 2': "INVALID", '{"a": "it\'s"': "REPAIRED", '[{"a": 1}, {"b"': "INVALID", '{"a": [1], "b': "INVALID", '[{"a": 1}] so': "TRUNCATED", '[1], [2]': "INVALID",
+    }
     assert apply(spark, list(cases), lambda c: jsonx.parse_reply(c)["status"]) == list(cases.values())
     got = apply(spark, ['[{"tema_principal": "T", "ids_originais": [3, 1, 3]}, {"tema_principal": "U", "ids_originais": ["2"'], jsonx.salvage_groups)[0]
     assert [(g["theme"], g["ids"]) for g in got] == [("T", [1, 3])]
