@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.functions import text as T
+from storyline.shared import shared_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: int = 100, **options) -> DataFrame:
@@ -48,8 +47,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is (availableNow) into a Parquet table that it returns; for aggregates ``mode`` is complete or append."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyline-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch's own folder: a batch that runs again overwrites itself.
