@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyline.shared import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``.
-
-    The setting is only made here where the session has none (local runs and tests).
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="storyline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; an error on a cluster without that setting."""
+    return shared_path(spark, tag)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

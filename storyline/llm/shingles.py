@@ -1,11 +1,15 @@
 """Hashes of words and of word shingles, for whole texts at once with NumPy.
 
-Words are hashed by a polynomial over random 64-bit values of their bytes, from prefix sums modulo 2**64, and
-mixed; a shingle's hash mixes the hashes of its words by place. Sets of shingles are sorted arrays of such hashes.
+Words are hashed eight bytes at a time, each step mixing what came before, so that no family of long words collides
+by its structure; words of over 64 bytes by BLAKE2. A shingle's hash mixes the hashes of its words by place. Sets of
+shingles are sorted arrays of such hashes. ``ranges_hash`` is a polynomial modulo 2**64 from prefix sums, for
+overlapping ranges of fewer than 1024 bytes: from there on such polynomials collide by structure, whatever the base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -18,6 +22,12 @@ _BASE = 0x9E3779B97F4A7C15 | 3  # odd, and 1 less has one factor of two
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_EIGHT = np.arange(8)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -43,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal bytes hash alike wherever they stand."""
+    """Hashes of byte ranges of fewer than 1024 bytes; equal bytes hash alike wherever they stand."""
     power, inverse = _tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
@@ -54,7 +64,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     r"""Hashes of the words ``[^\x20\x09-\x0D]+``, A-Z lower-cased, in order."""
     data = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
-    return ranges_hash(data, edge[::2], edge[1::2])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    out = mix(size.astype(np.uint64) + _VALUES[0])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for at in range(0, min(int(size.max(initial=0)), LONG), 8):
+        some = np.flatnonzero((size > at) & (size <= LONG)) if at else np.flatnonzero(size <= LONG)
+        first, left = start[some] + at, np.minimum(size[some] - at, 8)
+        piece = padded[first[:, None] + _EIGHT].view(np.uint64)[:, 0] & (_FULL >> (np.uint64(64) - left.astype(np.uint64) * np.uint64(8)))
+        out[some] = mix((out[some] ^ piece) + _VALUES[1 + at // 8])
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:

@@ -5,17 +5,21 @@ sampled at anchors: of any ``length - K + 1`` consecutive K-byte strings the one
 so equal strings of ``length`` bytes have an equal anchor at the same place. An anchor answers for the run of
 consecutive strings whose least it is; it enters the index as (hash of its K bytes, hash of its whole run's bytes).
 
-Index: a batch's suffix array is its anchors in the order of those hashes, with the count of each. A new batch's
-array is merge-scanned (a sort-merge join) against every level for anchors that match, and then becomes a level;
-while two levels are of one size they are merged into one of twice that size, so an entry is rewritten log2(batches)
-times. What comes out are the anchors that occur more than once, or with different runs.
+Index: a batch's array is sparse: its anchors' suffixes with the count of each, sorted by the hash of their first K
+bytes and then of their run, not by their bytes. Suffixes that begin alike are neighbours in that order as they are
+in the order of bytes, and that is all that the scan for matches uses; full arrays, eight bytes a suffix and a suffix
+a byte, would take more than twice the disk that this operator may use. A new batch's array is merge-scanned (a
+sort-merge join) against every level for anchors that match, and then becomes a level; while two levels are of one
+size they are merged into one of twice that size, so an entry is rewritten log2(batches) times. The family lives in a
+folder with a manifest: ``LevelFamily.open`` goes on with it in a later call, so batches may come at any time. What
+comes out are the anchors that occur more than once, or with different runs.
 
 Runs that occur twice are repeated throughout. Where one anchor has different runs, the runs' bytes are compared:
 they come together in the order of the anchor's hash, and each string of ``length`` bytes in them that occurs twice
 among the anchor's runs is repeated. Anchors with more than ``GROUP`` different runs are compared by shuffling one
 hash a string instead, combined before the shuffle, so no group is held by one task.
 
-Null and empty texts have no bytes and nothing is removed. Strings never cross documents, rows count as documents
+Texts may have any length: a text is held whole by the task that reads it, and compared by its runs. Null and empty texts have no bytes and nothing is removed. Strings never cross documents, rows count as documents
 even where they are equal in all columns. Rows equal in id and text get equal results. Extra columns are ignored;
 an empty table gives an empty result. Strings are told apart by 64-bit hashes.
 """
@@ -27,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm.common import bit_filter, drop, materialise, release, sliced, written
+from storyline.llm.common import bit_filter, drop, materialise, release, shared_dir, sliced, written
 from storyline.llm.shingles import mix, ranges_hash
 
 K = 100
@@ -100,34 +104,58 @@ def _places(length: int, k: int):
 
 
 class LevelFamily:
-    """Suffix arrays of batches as levels that double in size; ``matched`` gathers (anchor, run) entries found again."""
+    """Sparse suffix arrays of batches as levels that double in size; ``matched`` gathers anchors found again."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or shared_dir(spark, "suffix-family")
         self.levels: list[tuple[int, DataFrame, str]] = []
-        self.matched: list[DataFrame] = []
+        self.matched: list[tuple[DataFrame, str]] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LevelFamily:
+        """The family that was kept in a folder."""
+        family = cls(spark, path)
+        for kind, size, at in sorted(map(tuple, spark.read.parquet(f"{path}/manifest").collect()), key=lambda r: -r[1]):
+            if kind == "level":
+                family.levels.append((size, spark.read.schema("anchor long, run long, n long").parquet(at), at))
+            else:
+                family.matched.append((spark.read.schema("anchor long").parquet(at), at))
+        return family
+
+    def _keep(self) -> None:
+        """The manifest: a row a level and a row a batch."""
+        rows = [("level", size, at) for size, _, at in self.levels] + [("matched", 0, at) for _, at in self.matched]
+        self.spark.createDataFrame(rows, "kind string, size long, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest")
+
+    @staticmethod
+    def _array(entries: DataFrame, count: Column) -> tuple[DataFrame, str]:
+        return written(entries.groupBy("anchor", "run").agg(count.cast("long").alias("n")).sortWithinPartitions("anchor", "run"), "suffix-level")
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: anchor and run, a row an occurrence. A level that was merged into a larger one is deleted."""
-        spark = batch.sparkSession
-        new, path = written(batch.groupBy("anchor", "run").agg(F.count("*").alias("n")), "suffix-level")
+        spark, merged = self.spark, []
+        new, path = self._array(batch, F.count("*"))
         found = new.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("n").alias("most")).where("runs > 1 or most > 1").select("anchor")
         for _, level, _ in self.levels:
             found = found.unionByName(level.select("anchor").join(new.select("anchor"), "anchor", "left_semi"))
-        self.matched.append(materialise(found.distinct(), "suffix-matched"))
+        self.matched.append(written(found.distinct(), "suffix-matched"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, level, old = self.levels.pop()
             last, last_path = new, path
-            new, path = written(last.unionByName(level).groupBy("anchor", "run").agg(F.sum("n").alias("n")), "suffix-level")
-            drop(spark, old)
+            new, path = self._array(last.unionByName(level), F.sum("n"))
+            merged.append(old)
             drop(spark, last_path)
             size *= 2
         self.levels.append((size, new, path))
+        self._keep()
+        for old in merged:
+            drop(spark, old)
         release(spark)
 
     def repeated(self) -> DataFrame:
         """(anchor, run, n, runs) of anchors that occur more than once."""
-        anchors = materialise(self._union(self.matched).distinct(), "suffix-matched")
+        anchors = materialise(self._union([m for m, _ in self.matched]).distinct(), "suffix-matched")
         entries = self._union([level for _, level, _ in self.levels])
         known = bit_filter(entries, "anchor", anchors, "anchor").join(anchors, "anchor", "left_semi").groupBy("anchor", "run").agg(F.sum("n").alias("n"))
         known = materialise(known, "suffix-known")
@@ -224,15 +252,22 @@ def _finish(length: int, with_text: bool):
     return run
 
 
+def suffixes(texts: DataFrame, length: int = 200) -> DataFrame:
+    """(anchor, run) of every anchored suffix of a batch of texts (a frame of one column), for ``LevelFamily.add``."""
+    return texts.toDF("text").mapInArrow(_anchors(length, min(K, length)), "anchor long, run long")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = BATCHES, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """One row a document: n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds the bytes kept as text (what they leave of cut characters is dropped)."""
     kind = dict(docs.dtypes)[id_col]
     k = min(K, length)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rk"))
-    family = LevelFamily()
+    if 2 * length >= 1024:
+        raise ValueError("strings of 512 bytes or more need another hash, see ranges_hash")
+    family = LevelFamily(docs.sparkSession)
     for i in range(batches):
         part = docs.where(F.pmod("rk", F.lit(batches)) == i).select("text") if batches > 1 else docs.select("text")
-        family.add(part.mapInArrow(_anchors(length, k), "anchor long, run long"))
+        family.add(suffixes(part, length))
     known = materialise(family.repeated().where("n > 1 or runs > 1"), "suffix-repeated")
     del family
     release(docs.sparkSession)

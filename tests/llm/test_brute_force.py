@@ -249,6 +249,39 @@ def test_suffix_dedup(spark, group):
     assert {x["doc_id"]: tuple(x)[1:] for x in out.collect()} == dict(enumerate(plain_repeats(texts, 200)))
 
 
+def test_suffix_levels_in_separate_calls(spark):
+    """Batches added to a family that is opened anew each time give the entries of one batch of all."""
+    r = random.Random(31)
+    passage = "".join(r.choices("abcdef ", k=400))
+    texts = ["".join(r.choices("ghijkl ", k=300)) + (passage if i % 4 == 0 else "") for i in range(24)]
+    rows = lambda part: suffix_dedup.suffixes(spark.createDataFrame([(t,) for t in part], "text string"))
+    once = suffix_dedup.LevelFamily(spark)
+    once.add(rows(texts))
+    family = suffix_dedup.LevelFamily(spark)
+    family.add(rows(texts[:8]))
+    for k in (8, 16):
+        family = suffix_dedup.LevelFamily.open(spark, family.path)
+        family.add(rows(texts[k : k + 8]))
+    assert sorted(n for n, _, _ in family.levels) == [1, 2]
+    got, want = (sorted(map(tuple, f.repeated().select("anchor", "run", "n", "runs").collect())) for f in (family, once))
+    assert got == want and want
+
+
+def test_long_words_do_not_collide_by_structure():
+    """The Thue-Morse word and its complement are equal under polynomials modulo 2**64."""
+    from storyline.llm.shingles import shingle_set, word_hashes
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert word_hashes(word)[0] != word_hashes(other)[0]
+    assert not set(shingle_set(" ".join([word] * 9))) & set(shingle_set(" ".join([other] * 9)))
+    r = random.Random(5)
+    words = list({"".join(r.choices("aB\u00e9", k=r.randint(1, 90))) for _ in range(20_000)})
+    lower = {w.translate({c: c + 32 for c in range(65, 91)}) for w in words}
+    assert len(set(word_hashes(" ".join(words)).tolist())) == len(lower) == len(set(word_hashes("\n".join(lower)).tolist()))
+    assert word_hashes("x" + " y" * 3).tolist()[1] == word_hashes("zzzzzzzzz y").tolist()[1]
+
+
 def test_mixture_meets_targets(spark):
     r = random.Random(9)
     rows = [(i, " ".join(["w"] * int(1 + 400 * r.random() ** 3)), r.choice(["a", "a", "a", "b", "c", None])) for i in range(1500)]
