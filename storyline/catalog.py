@@ -63,3 +63,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source"), typed.alias("source_type")
     )
+
+
+def run_sql(spark: SparkSession, sf_dir: str, text: str, names: tuple[str, ...]) -> DataFrame:
+    """Free SQL over the named tables, which are registered as temporary views."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text)

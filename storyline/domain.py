@@ -157,3 +157,9 @@ OLD_TAGS = {
 MIGRATED_SCORES = {"P1_CRITICO": 85.0, "P2_ESTRATEGICO": 65.0}
 MIGRATED_SCORE, MIGRATED_PRIORITY, MIGRATED_REASON = 35.0, "P3_MONITORAMENTO", "Migrado: Classificado como "
 LEGACY_TAG, UNKNOWN = "Empresas Privadas", "N/A"
+
+# Patterns of the names of papers and files that a channel's listener keeps.
+JOURNAL_PATTERNS = (
+    r"valor\s*(econ[oô]mico)?", r"folha\s*(de?\s*s\.?\s*paulo)?", r"estado\s*(de?\s*s\.?\s*paulo)?", r"estadao", r"gazeta", r"correio\s*braziliense", r"o\s*globo", r"jornal", r"broadcast", r"infomoney",
+    r"capital\s*aberto", r"brazil\s*journal", r"pipeline", r"reset", r"neofeed", r"bloomberg", r"reuters", r"financial\s*times", r"\.pdf$",
+)

@@ -296,3 +296,9 @@ def set_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of arrays as sets; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def is_journal(file_name: Column, message: Column) -> Column:
+    """Whether a file of a channel looks like a paper of interest, by its name and message."""
+    both = F.concat_ws(" ", F.coalesce(file_name, F.lit("")), F.coalesce(message, F.lit("")))
+    return any_of(both.rlike(f"(?iU){p}") for p in D.JOURNAL_PATTERNS) | F.coalesce(F.lower(file_name).endswith(".pdf"), F.lit(False))

@@ -61,3 +61,10 @@ def token_cost(chars: Column, price_in: float, price_out: float, out_ratio: floa
     """Cost in USD of texts: four characters a token, prices a million tokens."""
     tokens = chars / 4
     return tokens / 1e6 * price_in + tokens * out_ratio / 1e6 * price_out
+
+
+def feedback_patterns(rows: DataFrame) -> DataFrame:
+    """(pattern, value, n): likes and dislikes by tag and by priority; whatever is not a like is a dislike, empty values don't count."""
+    kind = F.when(F.col("feedback") == "like", "likes").otherwise("dislikes")
+    pairs = F.array(*(F.struct(F.concat(kind, F.lit(f"_por_{name}")).alias("pattern"), F.col(c).alias("value")) for name, c in (("tag", "tag"), ("prioridade", "priority"))))
+    return rows.select(F.explode(pairs).alias("p")).where(F.coalesce("p.value", F.lit("")) != "").groupBy("p.pattern", "p.value").agg(F.count("*").alias("n"))

@@ -125,3 +125,29 @@ def merge_groups(groups: DataFrame, members: DataFrame, mapping: DataFrame, grou
     counts = moved.groupBy(F.col(member_group).alias("__group")).agg(F.count("*").alias("n_members"))
     out = groups.join(m, groups[group_key] == m["__source"], "left").join(counts, groups[group_key] == F.col("__group"), "left")
     return out.select(*groups.columns, F.coalesce("n_members", F.lit(0)).alias("n_members"), F.col("__target").isNotNull().alias("discarded")), moved
+
+
+def clear_range(rows: DataFrame, stamp: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """What is left after a ranged delete: rows from ``start`` to a day after ``end`` go, both included; without a range all go."""
+    if stamp is None or start is None or end is None:
+        return rows.limit(0)
+    inside = F.col(stamp).between(start, end + F.expr("INTERVAL 1 DAY"))
+    return rows.where(~F.coalesce(inside, F.lit(False)))
+
+
+def log_rows(events: DataFrame, level: Column, component: Column, message: Column, now: Column, details: Column | None = None) -> DataFrame:
+    """Log rows, one an event, for appending; ``article_id`` and ``cluster_id`` are null where events lack them."""
+    ids = [F.col(c) if c in events.columns else F.lit(None).cast("long").alias(c) for c in ("article_id", "cluster_id")]
+    return events.select(level.alias("level"), component.alias("component"), message.alias("message"), (F.lit("{}") if details is None else F.coalesce(details, F.lit("{}"))).alias("details"), *ids, now.alias("created_at"))
+
+
+def already_sent(logs: DataFrame, day: Column, component: str = "broadcaster") -> DataFrame:
+    """One row: whether the log holds a success of the component on the day."""
+    hit = (F.col("component") == component) & (F.col("level") == "INFO") & (F.to_date("created_at") == day)
+    return logs.where(hit).agg((F.count("*") > 0).alias("sent"))
+
+
+def write_days(rows: DataFrame, path: str, stamp: str) -> None:
+    """Writes rows by day; days that ``rows`` holds are replaced in the folder, the others stay."""
+    days = rows.withColumn("day", F.to_date(stamp))
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
