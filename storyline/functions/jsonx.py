@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def field_or(col: Column, name: str, default: Column) -> Column:
     return F.when(has_field(col, name), field(col, name)).otherwise(default)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _valid(text: Column) -> Column:
     """Whether a text that begins with a bracket is one JSON value and nothing more: as the only element of an array it parses, and there is no second."""
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
@@ -43,10 +50,10 @@ CLOSED_IN_TURN = (("[", "]"), ("{", "}"))
 
 def repair_json(text: Column) -> Column:
     """Drops fences, control characters and trailing commas, and appends a closer for every bracket that has none."""
-    out = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("```"), F.lit("")), CONTROL_CHARACTERS, ""), TRAILING_COMMA, "$1")
+    plain = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("```"), F.lit("")), CONTROL_CHARACTERS, ""), TRAILING_COMMA, "$1")
     number = lambda c, x: F.char_length(c) - F.char_length(F.replace(c, F.lit(x), F.lit("")))
-    missing = [F.repeat(F.lit(shut), F.greatest(number(out, open_) - number(out, shut), F.lit(0))) for open_, shut in CLOSED_IN_TURN]
-    return F.concat(out, *missing)
+    closed = lambda out: F.concat(out, *(F.repeat(F.lit(shut), F.greatest(number(out, open_) - number(out, shut), F.lit(0))) for open_, shut in CLOSED_IN_TURN))
+    return _bound(plain, closed)
 
 
 def cut_json(text: Column) -> Column:
@@ -58,12 +65,13 @@ def cut_json(text: Column) -> Column:
 
 def parse_reply(reply: Column) -> Column:
     """struct(status, json): EMPTY, NO_JSON, OK, REPAIRED, TRUNCATED (cut at the last closing bracket) or INVALID."""
-    found = extract_json(reply)
-    fixed = repair_json(found)
-    cut = cut_json(fixed)
     blank = reply.isNull() | ~reply.rlike(r"(?U)\S")
-    status = F.when(blank, "EMPTY").when(found.isNull(), "NO_JSON").when(_valid(found), "OK").when(_valid(fixed), "REPAIRED").when(_valid(cut), "TRUNCATED").otherwise("INVALID")
-    return F.struct(status.alias("status"), F.when(status == "OK", found).when(status == "REPAIRED", fixed).when(status == "TRUNCATED", cut).alias("json"))
+
+    def judged(found: Column, fixed: Column, cut: Column) -> Column:
+        status = F.when(blank, "EMPTY").when(found.isNull(), "NO_JSON").when(_valid(found), "OK").when(_valid(fixed), "REPAIRED").when(_valid(cut), "TRUNCATED").otherwise("INVALID")
+        return _bound(status, lambda s: F.struct(s.alias("status"), F.when(s == "OK", found).when(s == "REPAIRED", fixed).when(s == "TRUNCATED", cut).alias("json")))
+
+    return _bound(extract_json(reply), lambda found: _bound(repair_json(found), lambda fixed: _bound(cut_json(fixed), lambda cut: judged(found, fixed, cut))))
 
 
 def salvage_fields(reply: Column, *names: str) -> list[Column]:
