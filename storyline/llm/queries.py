@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import decontaminate, divergence, fingerprint, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup, url_filter, warc
+from storyline.llm import decontaminate, divergence, fingerprint, langid, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup, url_filter, warc
 from storyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 """
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
@@ -161,5 +165,6 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixture": op10_mixture,
     "op11_divergence": op11_divergence,
+    "op13_langid": op13_langid,
 }
 SQL: dict[str, str] = {"op2_warc": SQL_OP2, "op4_decontaminate": SQL_OP4, "op7_ngram_join": SQL_OP7, "op8_url_filter": SQL_OP8, "op9_suffix_dedup": SQL_OP9, "op11_divergence": SQL_OP11}
