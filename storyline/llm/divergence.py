@@ -5,11 +5,11 @@ stand in at least ``min_docs`` of its documents. A group is a language and a sou
 with N occurrences of V kept terms, a term that occurs c times has the share p = 1 + floor(unit * (c + 5) / (N + 5V)),
 a whole number. The distance of two groups is the sum of abs(p - q) over all kept terms.
 
+A distance starts from that of two groups without any of the terms, and is corrected for the terms that a group holds.
 Terms in at least a ``heavy``-th of a language's groups are heavy: their shares are laid out in dense tiles of terms
-by groups, and numpy adds up the differences of all pairs of a tile. The others are light. For those a distance starts
-from that of two groups without the term, and postings correct it: by the groups that hold a term against those that
-may not (one-sided, summed by how many terms have which share), and by pairs of groups that both hold it. All sums are
-whole numbers, so the parts add up exactly in any order.
+by groups, and numpy adds up the corrections of all pairs of a tile. The others are light, and postings correct for
+them: by the groups that hold a term against those that may not (one-sided, summed by how many terms have which share),
+and by pairs of groups that both hold it. All sums are whole numbers, so the parts add up exactly in any order.
 
 Counting is of all documents: tasks count what they read before anything is shuffled, so a source that holds a third
 of all rows sends as many counts as a task has terms. A tile holds ``TILE_TERMS`` terms, ``2 * TILE_GROUPS`` groups at
@@ -80,25 +80,26 @@ def _share(n: str, total: str) -> Column:
 
 
 def _tile(cells: pd.DataFrame) -> pd.DataFrame:
-    """Sums of abs(p - q) over the terms of a tile, for its pairs of groups (a, b); rows of a null term hold what a group has for the terms it lacks."""
+    """Sums of abs(p - q), less what it is without the term, over the terms of a tile, for its pairs of groups (a, b); rows of a null term hold what a group has for the terms it lacks."""
     lang, left, right = cells["lang"].iloc[0], cells["left"].iloc[0], cells["right"].iloc[0]
     base, filled = cells[cells["term"].isna()], cells[cells["term"].notna()]
     names, at = base["source"].to_numpy(), {s: k for k, s in enumerate(base["source"])}
     column, terms = pd.factorize(filled["term"])
-    m = np.repeat(base["p"].to_numpy(np.int64)[:, None], len(terms), axis=1)
+    none = base["p"].to_numpy(np.int64)
+    m = np.repeat(none[:, None], len(terms), axis=1)
     m[filled["source"].map(at).to_numpy(np.int64), column] = filled["p"].to_numpy(np.int64)
     mine, others = (np.flatnonzero(base["part"].to_numpy() == x) for x in (left, right))
     out = []
     for i in mine:
         near = others[others > i] if left == right else others
-        sums = np.abs(m[near] - m[i]).sum(axis=1)
+        sums = np.abs(m[near] - m[i]).sum(axis=1) - len(terms) * np.abs(none[near] - none[i])
         out.append(pd.DataFrame({"a": names[i], "b": names[near], "value": sums}))
     whole = pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "value": pd.Series(dtype="int64")})
     return whole.assign(lang=lang)[["lang", "a", "b", "value"]]
 
 
 def _heavy(cells: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, a, b, value): the tiles' sums. Groups fall into parts, terms into blocks, and a tile is a block of terms by a pair of parts."""
+    """(lang, a, b, value): the tiles' corrections. Groups fall into parts, terms into blocks, and a tile is a block of terms by a pair of parts."""
     sized = langs.where("n_heavy > 0").select(
         "lang", F.ceil(F.col("n_heavy") / TILE_TERMS).cast("int").alias("blocks"), F.ceil(F.col("n_groups") / TILE_GROUPS).cast("int").alias("parts")
     )
@@ -113,10 +114,10 @@ def _heavy(cells: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
 
 
 def _light(cells: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, a, b, value): for the light terms, what lies between two groups without them, and corrections by postings."""
+    """(lang, a, b, value): what lies between two groups without any term, and the postings' corrections for the light ones."""
     end = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"))
-    pairs = groups.join(end, "lang").where(F.col("source") < F.col("other")).join(langs.select("lang", "n_light"), "lang")
-    apart = pairs.select("lang", F.col("source").alias("a"), F.col("other").alias("b"), (F.col("n_light") * F.abs(F.col("p0") - F.col("q0"))).alias("value"))
+    pairs = groups.join(end, "lang").where(F.col("source") < F.col("other")).join(langs.select("lang", "kept"), "lang")
+    apart = pairs.select("lang", F.col("source").alias("a"), F.col("other").alias("b"), (F.col("kept") * F.abs(F.col("p0") - F.col("q0"))).alias("value"))
     # Shares at or above every group's least share lie on one side of all of them and are counted as one.
     top = langs.select("lang", "top")
     held = cells.join(top, "lang").groupBy("lang", "source", F.least("p", "top").alias("step")).agg(F.sum("p").alias("sum_p"), F.count("*").alias("terms"), F.first("p0").alias("p0"))
@@ -154,7 +155,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = groups.select("lang", "source", "kept", "lang_total", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.lit(0).cast("long").alias("none"))
     groups, groups_path = written(groups.withColumn("p0", _share("none", "total")).drop("none"), "divergence-groups")
     langs = vocabulary.join(sizes, "lang").join(groups.groupBy("lang").agg(F.max("p0").alias("top")), "lang")
-    langs, langs_path = written(langs.withColumn("n_light", F.col("kept") - F.col("n_heavy")), "divergence-langs")
+    langs, langs_path = written(langs, "divergence-langs")
 
     cells = kept.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total"))
     split = cells.join(langs.select("lang", "heavy_from"), "lang").select("lang", "source", "term", "p", "p0", (F.col("holders") >= F.col("heavy_from")).alias("heavy"))
