@@ -37,6 +37,7 @@ UNIT = 1_000_000_000
 TILE_TERMS, TILE_GROUPS = 256, 128
 #: A task sends its counts on once it holds so many.
 HELD = 300_000
+SALTS = 16
 
 #: Bytes as terms see them: letters and what lies beyond ASCII stay, A-Z become lower-case, all else parts terms.
 _AS_TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -73,10 +74,10 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return raw.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def _share(n: str, total: str) -> Column:
+def _share(n: Column, total: Column) -> Column:
     """1 + floor(UNIT * (n + 5) / (total + 5 * kept)), exact beyond 64 bits."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", F.lit(UNIT).cast("decimal(12,0)") * wide(F.col(n) + 5), wide(F.col(total) + 5 * F.col("kept"))) + 1
+    return F.call_function("div", F.lit(UNIT).cast("decimal(12,0)") * wide(n + 5), wide(total + 5 * F.col("kept"))) + 1
 
 
 def _tile(cells: pd.DataFrame) -> pd.DataFrame:
@@ -98,31 +99,29 @@ def _tile(cells: pd.DataFrame) -> pd.DataFrame:
     return whole.assign(lang=lang)[["lang", "a", "b", "value"]]
 
 
-def _heavy(cells: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
+def _heavy(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value): the tiles' corrections. Groups fall into parts, terms into blocks, and a tile is a block of terms by a pair of parts."""
-    sized = langs.where("n_heavy > 0").select(
-        "lang", F.ceil(F.col("n_heavy") / TILE_TERMS).cast("int").alias("blocks"), F.ceil(F.col("n_groups") / TILE_GROUPS).cast("int").alias("parts")
-    )
     part = F.pmod(F.xxhash64("source"), F.col("parts")).cast("int").alias("part")
     # A part meets every part, itself included; the lesser one comes first.
     partners = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")
-    rows = cells.join(sized, "lang").select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), part, "parts")
-    blank = groups.join(sized, "lang").select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "parts")
+    rows = cells.select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), part, "parts")
+    blank = groups.where("blocks > 0").select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "parts")
     dealt = rows.union(blank).select("lang", "source", "term", "p", "block", "part", partners).withColumns({"left": F.least("part", "with"), "right": F.greatest("part", "with")}).drop("with")
     sums = dealt.groupBy("lang", "block", "left", "right").applyInPandas(_tile, "lang string, a string, b string, value long")
     return sums.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("value"))
 
 
-def _light(cells: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
+def _light(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value): what lies between two groups without any term, and the postings' corrections for the light ones."""
     end = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"))
-    pairs = groups.join(end, "lang").where(F.col("source") < F.col("other")).join(langs.select("lang", "kept"), "lang")
+    pairs = groups.join(end, "lang").where(F.col("source") < F.col("other"))
     apart = pairs.select("lang", F.col("source").alias("a"), F.col("other").alias("b"), (F.col("kept") * F.abs(F.col("p0") - F.col("q0"))).alias("value"))
     # Shares at or above every group's least share lie on one side of all of them and are counted as one.
-    top = langs.select("lang", "top")
-    held = cells.join(top, "lang").groupBy("lang", "source", F.least("p", "top").alias("step")).agg(F.sum("p").alias("sum_p"), F.count("*").alias("terms"), F.first("p0").alias("p0"))
+    held = cells.groupBy("lang", "source", F.least("p", "top").alias("step")).agg(F.sum("p").alias("sum_p"), F.count("*").alias("terms"), F.first("p0").alias("p0"))
     beyond = F.when(F.col("step") >= F.col("q0"), F.col("sum_p") - F.col("terms") * F.col("q0")).otherwise(F.col("terms") * F.col("q0") - F.col("sum_p"))
-    one_sided = held.join(end, "lang").where("source != other").select(
+    # Salted, as a language may hold most of the rows.
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("source", "step"), F.lit(SALTS)))
+    one_sided = salted.join(end.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "salt"]).where("source != other").select(
         "lang", F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b"), (beyond - F.col("terms") * F.abs(F.col("p0") - F.col("q0"))).alias("value")
     )
     postings = cells.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("list")).where(F.size("list") > 1)
@@ -151,25 +150,24 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     vocabulary = terms.join(sizes, "lang").groupBy("lang").agg(
         F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"), F.sum((F.col("holders") >= F.col("heavy_from")).cast("long")).alias("n_heavy")
     )
-    groups = occurring.join(vocabulary, "lang").join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    groups = groups.select("lang", "source", "kept", "lang_total", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.lit(0).cast("long").alias("none"))
-    groups, groups_path = written(groups.withColumn("p0", _share("none", "total")).drop("none"), "divergence-groups")
-    langs = vocabulary.join(sizes, "lang").join(groups.groupBy("lang").agg(F.max("p0").alias("top")), "lang")
-    langs, langs_path = written(langs, "divergence-langs")
-
-    cells = kept.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total"))
-    split = cells.join(langs.select("lang", "heavy_from"), "lang").select("lang", "source", "term", "p", "p0", (F.col("holders") >= F.col("heavy_from")).alias("heavy"))
-    known = groups.select("lang", "source", "p0")
-    pieces = _heavy(split.where("heavy"), known, langs).union(_light(split.where("not heavy"), known, langs))
+    langs = vocabulary.join(sizes, "lang").select("*", F.ceil(F.col("n_heavy") / TILE_TERMS).cast("int").alias("blocks"), F.ceil(F.col("n_groups") / TILE_GROUPS).cast("int").alias("parts"))
+    groups = occurring.join(langs, "lang").join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
+    groups = groups.withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    # ``p0`` is a group's share of a term that it lacks, ``top`` the most that any group can have for that.
+    groups, groups_path = written(groups.withColumns({"p0": _share(F.lit(0), F.col("total")), "top": _share(F.lit(0), F.lit(0))}).drop("n_groups", "n_heavy"), "divergence-groups")
+
+    cells = kept.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total")))
+    heavy_ones = F.col("holders") >= F.col("heavy_from")
+    pieces = _heavy(cells.where(heavy_ones), groups).union(_light(cells.where(~heavy_ones), groups))
     # Languages without kept terms have pairs as well, at a distance of 0.
     bare = occurring.join(vocabulary, "lang", "left_anti")
     bare = bare.join(bare.select("lang", F.col("source").alias("b")), "lang").where("source < b").select("lang", F.col("source").alias("a"), "b", F.lit(0).cast("long").alias("value"))
     apart = pieces.union(bare).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = apart.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value")
     pairs = _ranked(pairs.select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value"))
-    above = cells.withColumn("value", F.col("p") - _share("lang_n", "lang_total")).where("value > 0")
+    above = cells.withColumn("value", F.col("p") - _share(F.col("lang_n"), F.col("lang_total"))).where("value > 0")
     above = _ranked(above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")).where(F.col("rank") <= top_terms)
     out = materialise(pairs.union(above), "divergence")
-    for path in (counts_path, terms_path, kept_path, groups_path, langs_path):
+    for path in (counts_path, terms_path, kept_path, groups_path):
         drop(spark, path)
     return out

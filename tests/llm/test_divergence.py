@@ -64,7 +64,7 @@ def test_against_loops(spark, heavy, n_sources, monkeypatch):
 def test_shares_beyond_64_bits(spark):
     big = 10**12
     df = spark.createDataFrame([(big, 3 * big, 7)], "n long, total long, kept long")
-    assert df.select(divergence._share("n", "total")).first()[0] == 1 + 10**9 * (big + 5) // (3 * big + 35)
+    assert df.select(divergence._share(divergence.F.col("n"), divergence.F.col("total"))).first()[0] == 1 + 10**9 * (big + 5) // (3 * big + 35)
 
 
 def test_empty_table(spark):
