@@ -38,6 +38,7 @@ PLACES = 1 << BITS
 #: The sample that a model is fitted on: texts of a language, texts in all, and of these the landmarks.
 PER_LANG, MOST, LANDMARKS = 600, 6_000, 192
 RIDGE = 1e-3
+SALTS = 16
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -131,8 +132,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model, or None where no row can be learnt from."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = rows.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= per_lang).orderBy("turn", "lang").limit(most)
+    # In two steps, as a language may hold most rows: the first of each salt, then the first of these.
+    first = lambda df, *by: df.withColumn("turn", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))).where(F.col("turn") <= per_lang)
+    salted = first(rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS))), "salt").select("lang", "h")
+    sample = first(salted).orderBy("turn", "lang").limit(most)
     # The sample is bounded by ``most`` and so small enough to broadcast.
     drawn = rows.join(F.broadcast(sample), ["lang", "h"]).select("lang", "h", "turn", "text").mapInArrow(_spectra, "lang string, h long, turn int, bits binary")
     got = drawn.groupBy("turn", "lang", "h").agg(F.min("bits").alias("bits")).toPandas().sort_values(["turn", "lang"])
