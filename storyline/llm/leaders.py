@@ -1,85 +1,62 @@
-"""Links between the members of bands without comparing all pairs of a band.
+"""Links between the members of bands, without comparing the members of a band that are known to belong together.
 
 A band is led by its most central member, the one that meets most others in all its bands for its size: of a text
-and its edited copies that is the text. Every member is compared with the leaders of its bands, which costs a
-comparison a membership and ties up groups of copies. Bands whose members are then not tied to one another go on:
-those of few members have the pairs between different ties compared, larger ones are split by combinations of their
-members' bands, of two bands first, then of four, then of eight. Each round costs as many comparisons as it has
-memberships, times a bound for the bands of few; members that only share a frequent passage part after a round or two.
-Of pairs that share one band only, and that a large one, those are compared in which one is the leader.
+and its edited copies that is the text. Every member is compared with the leaders of its bands first, at a comparison
+a membership, which ties up groups of copies; a tie is a component of these links. In a band that this leaves in several
+ties, every member outside the band's largest tie is then compared with all members of other ties, whatever the size of the band: what shares a band
+is compared or tied already. Bands are dealt out in blocks of both sides, so that a frequent band is shared by many
+tasks, and a test inside the join keeps pairs that cannot be similar from being made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import materialise, release
+from storyline.llm.common import drop, materialise, release, written
+from storyline.llm.components import components
 
-#: Bands of so many members at most are compared pair by pair, the second number where members share several bands.
-FEW, FEW_BY_SEVERAL = 8, 64
+#: Members of a block: of those outside a band's largest tie, and of all.
+BLOCK, AGAINST = 256, 4096
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), place)
-
-
-def _central(members: DataFrame) -> DataFrame:
-    """The members with ``met``: how many others they meet in all their bands, by their size."""
+def _central(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members with n and ``met``: how many others they meet in all their bands, by their size."""
     cost = members.groupBy("key").agg(F.count("*").alias("cost"))
-    met = members.join(cost, "key").groupBy("id").agg((F.sum("cost") / F.first("n")).alias("met"))
-    return members.join(met, "id").select("key", "id", "n", "used", "met")
-
-
-def _combined(depth: int, n_bands: int) -> Column:
-    """array<struct(used, key)>: the combinations of so many bands that hold one of the combinations ``used``; empty bands count as alike."""
-    hashed = [F.xxhash64(F.lit(q), F.coalesce(F.get("bands", F.lit(q)), F.lit(0).cast("long"))) for q in range(n_bands)]
-    out = [F.struct(F.lit(sum(1 << q for q in some)).alias("used"), reduce(lambda x, y: x.bitwiseXOR(y), (hashed[q] for q in some)).alias("key")) for some in combinations(range(n_bands), depth)]
-    return F.filter(F.array(*out), lambda c: F.exists("used", lambda u: c["used"].bitwiseAND(u) == u))
-
-
-def _ties(links: DataFrame) -> DataFrame:
-    """(id, tie): the least id within two links; members of a star have one tie."""
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("near")).union(links.select(F.col("b").alias("id"), F.col("a").alias("near")))
-    once = both.groupBy("id").agg(F.min("near").alias("least")).select(F.col("id").alias("near"), F.least("id", "least").alias("least"))
-    return both.join(once, "near").groupBy("id").agg(F.min("least").alias("tie")).select("id", F.least("id", "tie").alias("tie"))
-
-
-def leader_links(members: DataFrame, known: DataFrame, fits: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], n_bands: int, tag: str) -> DataFrame:
-    """``members``: (key, band, id), a row each, the key being that of the band of this number; ``known``: (id, n, bands),
-    bands being the keys of all its bands, null where it has none; ``fits``: whether members of size n and m can be
-    similar; ``verify``: keeps the similar of pairs (a, b)."""
-    compared, links, small, most, depth = [], [], None, FEW, 1
-    members = members.join(known.select("id", "n"), "id").select("key", "id", "n", _bit(F.col("band")).alias("used"))
-    members = materialise(_central(members), f"{tag}-members")
-    while True:
-        led = members.join(members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("met", "id")).alias("leader")), "key")
-        pairs = led.where((F.col("leader.id") != F.col("id")) & fits(F.col("n"), F.col("leader.n"))).select(F.col("id").alias("x"), F.col("leader.id").alias("y"))
-        if small is not None:
-            other = small.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("tie").alias("other_tie"))
-            few = small.join(other, "key").where((F.col("id") > F.col("y")) & (F.col("tie") != F.col("other_tie")) & fits(F.col("n"), F.col("m")))
-            pairs = pairs.union(few.select(F.col("id").alias("x"), "y"))
-        new = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if compared:
-            new = new.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
-        compared.append(materialise(new, f"{tag}-pairs"))
-        links.append(materialise(verify(compared[-1]), f"{tag}-links"))
-        tied = members.join(_ties(reduce(DataFrame.union, links)), "id", "left").select("key", "id", "n", "used", "met", F.coalesce("tie", "id").alias("tie"))
-        state = tied.groupBy("key").agg(F.count("*").alias("size"), F.min("tie").alias("p"), F.max("tie").alias("q")).where("p != q").select("key", "size")
-        placed = materialise(tied.join(state, "key"), f"{tag}-placed")
-        if placed.isEmpty():
-            return reduce(DataFrame.union, links)
-        small = placed.where(F.col("size") <= most)
-        depth *= 2
-        if depth > n_bands:
-            members, most = members.limit(0), FEW_BY_SEVERAL
-            continue
-        large = placed.where(F.col("size") > most).groupBy("id").agg(F.first("n").alias("n"), F.first("met").alias("met"), F.collect_set("used").alias("used"))
-        split = large.join(known.select("id", "bands"), "id").select("id", "n", "met", F.explode(_combined(depth, n_bands)).alias("c")).select("c.key", "id", "n", "c.used", "met")
-        members = materialise(split.join(split.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key"), f"{tag}-members")
-        release(members.sparkSession)
-        most = FEW_BY_SEVERAL
+    met = members.join(cost, "key").groupBy("id").agg(F.sum("cost").alias("met")).join(sizes, "id")
+    return members.join(met.select("id", "n", (F.col("met") / F.col("n")).alias("met")), "id").select("key", "id", "n", "met")
+
+
+def _between_ties(tied: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of members (key, id, tie) that share a band and not the tie."""
+    of_key = tied.groupBy("key", "tie").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("main"), F.max("n").alias("held"), F.sum("n").alias("size"))
+    mixed = of_key.where("held < size").select("key", "main", F.ceil((F.col("size") - F.col("held")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / AGAINST).cast("int").alias("others"))
+    placed = tied.join(mixed, "key").join(known, "id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    side = lambda name: F.struct("id", "tie", "n", "sketch").alias(name)
+    left = placed.where("tie != main").select("key", at("blocks").alias("block"), each("others").alias("other"), side("x"))
+    right = placed.select("key", each("blocks").alias("block"), at("others").alias("other"), (F.col("tie") == F.col("main")).alias("of_main"), side("y"))
+    x, y = F.col("x"), F.col("y")
+    # Two members outside the largest tie meet from both sides; the pair counts from the greater.
+    once = F.col("of_main") | (x["id"] > y["id"])
+    met = left.join(right, ["key", "block", "other"]).where((x["tie"] != y["tie"]) & once & may(x, y))
+    return met.select(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")).distinct()
+
+
+def leader_links(members: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """``members``: (key, id); ``known``: (id, n, sketch); ``may``: whether two of ``known``, as structs, can be similar; ``verify``: keeps the similar of pairs (a, b)."""
+    spark = members.sparkSession
+    central, central_path = written(_central(members, known.select("id", "n")), f"{tag}-members")
+    leaders = central.groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("leader"))
+    star = central.join(leaders, "key").where("leader != id").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    first = materialise(verify(star), f"{tag}-star")
+    ties = components(first, tag=f"{tag}-ties").select("id", F.col("component").alias("tie"))
+    tied, tied_path = written(central.join(ties, "id", "left").select("key", "id", F.coalesce("tie", "id").alias("tie")), f"{tag}-tied")
+    drop(spark, central_path)
+    release(spark)
+    second = materialise(verify(_between_ties(tied, known, may)), f"{tag}-links")
+    drop(spark, tied_path)
+    return first.union(second)

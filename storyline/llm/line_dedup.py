@@ -1,15 +1,17 @@
 """Line dedup: fuzzy lines by MinHash, verified exactly, one line kept of each component.
 
-A line's shingles are its substrings of eight characters (UTF-16 units), a line of fewer is one shingle. Its sketch
-is the 32 least hashes of them (a bottom-k MinHash), dealt by its last bits into eight bins; the hash of what a bin holds
-is a band. Of the sketches of two lines of Jaccard similarity 0.8 some 36 hashes differ in seven, four or five to a
-bin, so 97 to 98 of 100 such pairs have an equal bin, and lines of similarity 0.3 hardly ever. Lines of few shingles
-differ in fewer hashes than there are bins. Every line is signed in this one way.
+A line's shingles are its substrings of eight characters (UTF-16 units), a line of fewer is one shingle. Its signature
+is the least hash in each of 32 equal ranges of hashes (MinHash by one permutation; hashes far above what 32 ranges
+leave as least are passed over first), and the least hashes of four neighbouring ranges are a band. Two lines of Jaccard
+similarity 0.8 share one of the eight bands in 98 to 99 of 100 cases, at 0.85 in over 99, at 0.4 in some 18.
 
 Of the distinct lines that share a band, each is compared with the most central one, and where that leaves a band
-in several components it is split by further bands until it is small, see ``leaders``. Comparisons are of the exact
-Jaccard similarity of all shingles. Similar lines are joined by distributed union-find, and of each component the
-first line by (id, text hash, place) is kept.
+in several ties, all lines of different ties are compared, see ``leaders``; no size of a band changes that. Before two
+lines of different ties are compared in full, their ``SKETCH`` least hashes are: pairs that agree in so few that lines of
+similarity 0.8 do so in 1 of 700 cases are passed over; lines of no more shingles are thereby compared exactly.
+Comparisons are of the exact Jaccard similarity of all shingles.
+Similar lines are joined by distributed union-find, and of each component the first line by (id, text hash, place) is
+kept.
 
 Everything is DataFrame expressions. Lines are compared without blanks at their ends; blank lines are kept as
 they are. A null text stays null and an empty one empty. A null id comes last. Rows that are equal in id and text
@@ -21,6 +23,8 @@ would take the one for a copy of the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +33,52 @@ from storyline.llm.components import components
 from storyline.llm.leaders import leader_links
 
 SHINGLE = 8
-SKETCH = 32
-BANDS = 8
+#: Ranges of hashes as bits of the hash, of which a band takes neighbouring ones; the hashes looked at in a range, on average.
+RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 4
+BANDS = 1 << BAND_BITS
+#: Least hashes compared before two lines are, and how many standard deviations fewer may agree than similar lines share.
+SKETCH, DEVIATIONS = 256, 3
 
 
-def _hashes(line: Column) -> Column:
-    """Distinct hashes of all shingles; the bytes are bound once, so a shingle is a slice of them."""
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _windows(raw: Column) -> Column:
+    """The hashes of all shingles of a line, as bytes; a shingle is a slice of them."""
     width = 2 * SHINGLE
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (width - 1), F.lit(1)), F.lit(2))
+    return F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(width))))
+
+
+def _hashes(line: Column) -> Column:
+    """Distinct hashes of all shingles."""
+    return _bound(F.encode(line, "UTF-16BE"), lambda raw: F.array_distinct(_windows(raw)))
 
-    def of(raw: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (width - 1), F.lit(1)), F.lit(2))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(width))))
 
-    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 0))
+def _bands(line: Column) -> Column:
+    """array<long>: a hash of each band's least hashes, null where its ranges are empty."""
+    in_range = (1 << (64 - RANGE_BITS)) - 1
+    share = F.least(F.lit(1.0), F.lit(float(LOOKED_AT << RANGE_BITS)) / F.greatest(F.char_length(line) - (SHINGLE - 1), F.lit(1)))
+    most = F.when(share >= 1, F.lit(in_range)).otherwise((share * in_range).cast("long"))
+    low = _bound(F.struct(F.encode(line, "UTF-16BE").alias("raw"), most.alias("most")), lambda b: F.filter(_windows(b["raw"]), lambda x: x.bitwiseAND(F.lit(in_range)) <= b["most"]))
+    # Sorted hashes stand by range, the least of a range first.
+    at = lambda x: F.shiftright(x, 64 - RANGE_BITS)
+    least = _bound(F.sort_array(F.array_distinct(low)), lambda s: F.filter(s, lambda x, i: (i == 0) | (at(x) != at(F.get(s, i - 1)))))
+    none = F.array().cast("array<long>")
 
+    def band(held: Column, q: int) -> Column:
+        own = F.filter(held, lambda x: F.shiftright(x, 64 - BAND_BITS) == q)
+        return F.nullif(F.xxhash64(F.lit(q), own), F.xxhash64(F.lit(q), none))
 
-def _band(sketch: str, q: int) -> Column:
-    held = F.filter(sketch, lambda x: x.bitwiseAND(F.lit(BANDS - 1)) == q)
-    return F.nullif(F.xxhash64(F.lit(q), held), F.xxhash64(F.lit(q), F.array().cast("array<long>")))
+    return _bound(least, lambda m: F.array(*(band(m, q) for q in range(-BANDS // 2, BANDS // 2))))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """The lines with n, how many shingles they have, and of each bin the hash of what it holds, null where it is empty."""
-    hashed = lines.withColumn("h", _hashes(F.col("line"))).select("id", "rk", "pos", "lid", F.size("h").cast("long").alias("n"), F.slice(F.sort_array("h"), 1, SKETCH).alias("s"))
-    return hashed.select("id", "rk", "pos", "lid", "n", *(_band("s", q).alias(f"k{q}") for q in range(BANDS)))
+    """The lines with the keys of their bands."""
+    keyed = lines.select("id", "rk", "pos", "lid", _bands(F.col("line")).alias("bands"))
+    return keyed.select("id", "rk", "pos", "lid", *(F.get("bands", F.lit(q)).alias(f"k{q}") for q in range(BANDS)))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -65,9 +91,20 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''").withColumn("lid", F.xxhash64("line"))
 
 
+def _agree(x: Column, y: Column, least: float) -> Column:
+    """Whether two lines can be similar by their sizes, and are likely to be by their least hashes."""
+    small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    # Of lines as similar as asked so many shingles are shared; of the larger one's least hashes so many are expected to be, give or take.
+    shared = F.lit(least / (1 + least)) * (small + large)
+    looked_at = F.least(F.lit(1.0), F.lit(float(SKETCH)) / large)
+    spread = F.sqrt(F.greatest(F.lit(0.0), shared * looked_at * (1 - shared / large) * (1 - looked_at)))
+    return (small >= F.lit(least) * large) & (F.size(F.array_intersect(x["sketch"], y["sketch"])) >= shared * looked_at - DEVIATIONS * spread - 1e-6)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of lines those whose shingle sets have the Jaccard similarity ``least`` or more."""
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("n").alias("na"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("line").alias("lb")), "b")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("line").alias(f"l{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
     shared = F.size(F.array_intersect(_hashes(F.col("la")), _hashes(F.col("lb"))))
     return both.select("a", "b", "na", "nb", shared.alias("shared")).where(F.col("shared") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
@@ -78,30 +115,31 @@ def similar_lines(docs: DataFrame, id_col: str, text_col: str, least: float) ->
     lines = _lines(docs, id_col, text_col)
     bands = [f"k{q}" for q in range(BANDS)]
     places, signed_path = written(_signed(lines), "line-signed")
-    distinct, distinct_path = written(places.groupBy("lid").agg(F.count("*").alias("times"), F.min("n").alias("n"), *(F.min(k).alias(k) for k in bands)), "line-distinct")
+    distinct, distinct_path = written(places.groupBy("lid").agg(F.count("*").alias("times"), *(F.min(k).alias(k) for k in bands)), "line-distinct")
     places = materialise(places.select("id", "rk", "pos", "lid"), "line-places")
     drop(spark, signed_path)
     release(spark)
-    keys = distinct.select("lid", F.posexplode(F.array(*bands)).alias("band", "key")).where("key is not null")
-    shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.count("*").alias("lines"), F.min("band").alias("band"))
-    shared = materialise(shared.where("lines > 1"), "line-bands")
+    keys = distinct.select("lid", F.explode(F.array(*bands)).alias("key")).where("key is not null")
+    shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.count("*").alias("lines"))
+    shared, shared_path = written(shared.where("lines > 1"), "line-bands")
     release(spark)
     larger = shared.where("lines > 2").select("key")
-    members = materialise(
-        shared.where("lines = 2").select("key", "band", F.explode(F.array("low", "high")).alias("id")).union(bit_filter(keys, "key", larger, "key").join(larger, "key").select("key", "band", F.col("lid").alias("id"))),
+    members, members_path = written(
+        shared.where("lines = 2").select("key", F.explode(F.array("low", "high")).alias("id")).union(bit_filter(keys, "key", larger, "key").join(larger, "key").select("key", F.col("lid").alias("id"))),
         "line-shared",
     )
-    wanted = members.select(F.col("id").alias("lid")).distinct()
-    known = materialise(bit_filter(distinct, "lid", wanted, "lid").join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), "n", F.array(*bands).alias("bands")), "line-known")
+    wanted = members.select("id").distinct()
     repeated = materialise(distinct.where("times > 1").select("lid"), "line-copied")
+    found = bit_filter(lines.select(F.col("lid").alias("id"), "line"), "id", wanted, "id").join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
+    hashed = found.withColumn("h", _hashes(F.col("line")))
+    sketch = F.transform(F.slice(F.sort_array("h"), 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    texts, texts_path = written(hashed.select("id", F.size("h").cast("long").alias("n"), sketch.alias("sketch"), "line"), "line-texts")
     drop(spark, distinct_path)
-    texts = materialise(
-        bit_filter(lines.select("lid", "line"), "lid", known, "id").join(known.select(F.col("id").alias("lid"), "n"), "lid").groupBy("lid").agg(F.first("n").alias("n"), F.first("line").alias("line")),
-        "line-texts",
-    )
+    drop(spark, shared_path)
     release(spark)
-    fits = lambda n, m: F.least(n, m) >= F.lit(least) * F.greatest(n, m)
-    links = leader_links(members, known, fits, lambda p: _verified(p, texts, least), BANDS, "line")
+    links = leader_links(members, texts.select("id", "n", "sketch"), lambda x, y: _agree(x, y, least), lambda p: _verified(p, texts, least), "line")
+    drop(spark, members_path)
+    drop(spark, texts_path)
     return (places, repeated), links
 
 

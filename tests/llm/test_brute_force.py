@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from storyline.llm import decontaminate, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup
+from storyline.llm import decontaminate, leaders, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup
 from storyline.llm.components import components
 
 
@@ -217,6 +217,55 @@ def test_line_dedup_signs_all_shingles(spark):
     assert sum(out[i] == 1 for i in range(60)) >= 0.9 * 60
 
 
+def templated(r, common, own, n):
+    """Lines of one template, each with a part of its own and an edited copy, and some of unlike length."""
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
+    text = lambda k: " ".join(word() for _ in range(k))[:k]
+    template, out = text(common), []
+    for _ in range(n):
+        line = template + " " + text(own)
+        copy = list(line)
+        for _ in range(1 if own < 50 else 4):
+            copy[r.randrange(len(copy))] = r.choice("XYZ#")
+        out += [line, "".join(copy)]
+        if r.random() < 0.1:
+            out.append(line + " " + text(own // 2))
+    return out
+
+
+@pytest.mark.parametrize(("common", "own"), [(260, 70), (200, 80), (90, 30)])
+def test_line_dedup_of_templates(spark, common, own):
+    """Lines of one template fall into large bands; the similar ones among them are still found."""
+    lines = templated(random.Random(common), common, own, 300)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets = [char_shingles(x) for x in lines]
+    near = {}
+    for j in range(len(sets)):
+        for i in range(j):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                near[i, j] = n / (len(sets[i]) + len(sets[j]) - n)
+    place = {x["lid"]: x["id"] for x in line_dedup._lines(df, "doc_id", "text").collect()}
+    _, links = line_dedup.similar_lines(df, "doc_id", "text", 0.8)
+    got = {tuple(sorted((place[x["a"]], place[x["b"]]))) for x in links.collect()}
+    assert got <= set(near)
+    component = union_find(len(sets), got)
+    found = {p for p in near if component[p[0]] == component[p[1]]}
+    closer = [p for p, similarity in near.items() if similarity >= 0.85]
+    assert len(near) > 100 and len(found) >= 0.95 * len(near) and sum(p in found for p in closer) >= 0.98 * len(closer)
+
+
+def test_line_bands_do_not_depend_on_blocks(spark, monkeypatch):
+    """Every pair of a band meets, however a band is cut into blocks."""
+    lines = templated(random.Random(3), 200, 80, 60)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    links = lambda: {tuple(x) for x in line_dedup.similar_lines(df, "doc_id", "text", 0.8)[1].collect()}
+    whole = links()
+    monkeypatch.setattr(leaders, "BLOCK", 3)
+    monkeypatch.setattr(leaders, "AGAINST", 5)
+    assert whole and links() == whole
+
+
 def plain_repeats(texts, length):
     raw = [t.encode() for t in texts]
     n = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
