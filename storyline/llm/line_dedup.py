@@ -34,10 +34,10 @@ from storyline.llm.leaders import leader_links
 
 SHINGLE = 8
 #: Ranges of hashes as bits of the hash, of which a band takes neighbouring ones; the hashes looked at in a range, on average.
-RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 4
+RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 2
 BANDS = 1 << BAND_BITS
 #: Least hashes compared before two lines are, and how many standard deviations fewer may agree than similar lines share.
-SKETCH, DEVIATIONS = 256, 3
+SKETCH, DEVIATIONS = 512, 3
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
