@@ -1,9 +1,7 @@
-"""Grouping: greedy leaders, exact merges, components of links."""
+"""Grouping: exact merges, components of links, referents, promotion."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,34 +9,6 @@ from storyline.functions import text as T
 from storyline.shared import shared_path
 
 
-def leader_clusters(rows: DataFrame, block: str, threshold: float = 0.7, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """Greedy leader clustering within a block, in order of id: a row joins the first leader it is more similar to than the threshold.
-
-    The order of rows decides the result, so a block is one task; blocks are tags of a day and bounded by it.
-    """
-    kinds = dict(rows.dtypes)
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        leaders: list[np.ndarray] = []
-        ids, out = [], []
-        for key, vector in zip(pdf[id_col], pdf[vector_col], strict=True):
-            v = np.asarray(vector, float)
-            n = np.linalg.norm(v)
-            v = v / n if n else v
-            sims = np.stack(leaders) @ v if leaders else np.zeros(0)
-            hit = np.flatnonzero(sims > threshold)
-            if len(hit):
-                out.append(ids[hit[0]])
-            else:
-                leaders.append(v)
-                ids.append(key)
-                out.append(key)
-        return pd.DataFrame({block: pdf[block], id_col: pdf[id_col], "leader": out})
-
-    return rows.select(block, id_col, vector_col).groupBy(block).applyInPandas(group, f"{block} {kinds[block]}, {id_col} {kinds[id_col]}, leader {kinds[id_col]}")
-
-
 def merge_equal(rows: DataFrame, keys: list, id_col: str = "id") -> DataFrame:
     """Groups of rows with one normal key, and the least id, into which they merge."""
     return rows.groupBy(*keys).agg(F.min(id_col).alias("target"), F.count("*").alias("n"))

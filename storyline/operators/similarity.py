@@ -1,4 +1,4 @@
-"""Nearest neighbours and similarity joins over vectors and token sets, always within a block key."""
+"""Nearest neighbours of a vector, similarity joins over token sets within a block key, centroids."""
 
 from __future__ import annotations
 
@@ -16,14 +16,6 @@ def knn(vectors: DataFrame, query: DataFrame, most: int = 5, least: float = 0.0,
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), id_col).limit(most).select(id_col, "score")
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], score, least: float, id_col: str = "id") -> DataFrame:
-    """Pairs a < b within a block whose score is at least ``least``; ``score`` takes two column prefixes."""
-    a = rows.select(*block, *(F.col(c).alias(f"a_{c}") for c in rows.columns if c not in block))
-    b = rows.select(*block, *(F.col(c).alias(f"b_{c}") for c in rows.columns if c not in block))
-    pairs = a.join(b, block).where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}"))
-    return pairs.withColumn("score", score("a_", "b_")).where(F.col("score") >= least)
-
-
 def token_pairs(rows: DataFrame, block: list[str], least: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Pairs of like token sets within a block, by prefix filtering: similar sets share one of the rarest
     (1 - least) * n + 1 tokens of each, so only sets that share such a token meet."""
@@ -42,13 +34,6 @@ def token_pairs(rows: DataFrame, block: list[str], least: float, id_col: str = "
     return both.withColumn("score", T.set_similarity(F.col("aw"), F.col("bw"))).where(F.col("score") >= least).drop("aw", "bw")
 
 
-def best_earlier(rows: DataFrame, block: list[str], least: float, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """For each row the most similar earlier row of its block (the least id on a tie), if it is similar enough."""
-    pairs = blocked_pairs(rows.select(*block, id_col, vector_col), block, lambda a, b: F.round(V.cosine(F.col(a + vector_col), F.col(b + vector_col)), 4), least, id_col)
-    best = F.max(F.struct(F.col("score"), (-F.col(f"a_{id_col}")).alias("m"))).alias("x")
-    return pairs.groupBy(F.col(f"b_{id_col}").alias(id_col)).agg(best).select(id_col, (-F.col("x.m")).alias("match_id"), F.col("x.score").alias("score"))
-
-
 def centroids(rows: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:
     """(key, pos, value): the mean of each dimension; combined before the shuffle."""
     long = rows.select(key, F.posexplode(vector_col).alias("pos", "x"))

@@ -76,7 +76,7 @@ def already_sent(spark, sf_dir):
 
 @query(f"""WITH {_CLUSTERS}, f AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'likes' ELSE 'dislikes' END AS kind, nullif('line ' || l_linenumber, 'line 1') AS tag, priority FROM lineitem JOIN clusters ON l_orderkey = cluster_id WHERE l_returnflag <> 'N')
 SELECT kind || '_por_tag' AS pattern, tag AS value, count(*) AS n FROM f WHERE tag IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT kind || '_por_prioridade', priority, count(*) FROM f GROUP BY 1, 2""")
-def feedback_patterns(spark, sf_dir):
+def feedback_counters(spark, sf_dir):
     """Likes and dislikes by tag and by priority."""
     line = C.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
     rows = line.join(C.clusters(spark, sf_dir), F.col("l_orderkey") == F.col("cluster_id"))

@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL that gives the same rows if SQL can."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query is registered already: {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql.strip()
