@@ -31,4 +31,4 @@ def dispatch(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)
 
 
-from storyline.plans import dedup, digest, feed, graph, incremental, remote, stages, stats, texts, vectors  # noqa: E402, F401
+from storyline.plans import dedup, digest, feed, graph, incremental, remote, stages, stats, tables, texts, vectors  # noqa: E402, F401
