@@ -37,7 +37,7 @@ SHINGLE = 8
 RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 2
 BANDS = 1 << BAND_BITS
 #: Least hashes compared before two lines are, and how many standard deviations fewer may agree than similar lines share.
-SKETCH, DEVIATIONS = 512, 3
+SKETCH, DEVIATIONS = 320, 3
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
