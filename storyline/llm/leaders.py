@@ -30,20 +30,21 @@ def _central(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _between_ties(tied: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs (a, b) of members (key, id, tie) that share a band and not the tie."""
+    """Pairs (a, b) of members (key, id, tie) that share a band and not the tie, each once: in the least of the bands that it shares."""
     of_key = tied.groupBy("key", "tie").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("main"), F.max("n").alias("held"), F.sum("n").alias("size"))
     mixed = of_key.where("held < size").select("key", "main", F.ceil((F.col("size") - F.col("held")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / AGAINST).cast("int").alias("others"))
-    placed = tied.join(mixed, "key").join(known, "id")
+    keys = tied.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    placed = tied.join(mixed, "key").join(known.join(keys, "id"), "id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    side = lambda name: F.struct("id", "tie", "n", "sketch").alias(name)
+    side = lambda name: F.struct("id", "tie", "n", "keys", "sketch").alias(name)
     left = placed.where("tie != main").select("key", at("blocks").alias("block"), each("others").alias("other"), side("x"))
     right = placed.select("key", each("blocks").alias("block"), at("others").alias("other"), (F.col("tie") == F.col("main")).alias("of_main"), side("y"))
     x, y = F.col("x"), F.col("y")
     # Two members outside the largest tie meet from both sides; the pair counts from the greater.
-    once = F.col("of_main") | (x["id"] > y["id"])
+    once = (F.col("of_main") | (x["id"] > y["id"])) & (F.get(F.array_intersect(x["keys"], y["keys"]), F.lit(0)) == F.col("key"))
     met = left.join(right, ["key", "block", "other"]).where((x["tie"] != y["tie"]) & once & may(x, y))
-    return met.select(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")).distinct()
+    return met.select(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b"))
 
 
 def leader_links(members: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
