@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions import text as T
 from storyline.functions import vectors as V
 
+#: Sets of a block that meet in one task, on either side.
+PART = 16384
+
 
 def knn(vectors: DataFrame, query: DataFrame, most: int = 5, least: float = 0.0, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Exact nearest neighbours of one query vector (a one-row frame): a scan and a top-k, nothing is shuffled."""
@@ -16,22 +23,114 @@ def knn(vectors: DataFrame, query: DataFrame, most: int = 5, least: float = 0.0,
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), id_col).limit(most).select(id_col, "score")
 
 
+def _bitmaps(hashes: np.ndarray, of: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Rows of so many 64-bit words; each element of a set flips one bit of its row."""
+    bits = np.zeros((rows, words * 64), np.uint8)
+    np.bitwise_xor.at(bits, (of, (hashes.view(np.uint64) % np.uint64(words * 64)).astype(np.int64)), np.uint8(1))
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _like(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, one: bool, least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, Jaccard similarity) of sets of two sides, or of one, that is at least ``least``. Bitmaps that differ in d bits belong to sets
+    that differ in d elements at least; that bounds what they share from above, and only pairs within the bound are intersected."""
+    size = np.array([len(x) for x in sets])
+    right = right[np.argsort(size[right], kind="stable")]
+    left = right if one else left[np.argsort(size[left], kind="stable")]
+    words = 1
+    while words * 32 < np.quantile(size[np.concatenate([left, right])], 0.9) and words < 64:
+        words *= 2
+    bits = {}
+    for side in (left, right):
+        for k in range(0, len(side), 1024):
+            part = side[k : k + 1024]
+            for i, x in zip(part, _bitmaps(np.concatenate([sets[i] for i in part]), np.repeat(np.arange(len(part)), size[part]), len(part), words), strict=True):
+                bits[i] = x
+    theirs = np.ascontiguousarray(np.stack([bits[i] for i in right]).T)
+    n = size[right]
+    for k in range(0, len(left), 32):
+        own = left[k : k + 32]
+        mine, m = np.stack([bits[i] for i in own]), size[own]
+        low, high = np.searchsorted(n, [int(np.floor(least * m[0])), int(np.ceil(m[-1] / least)) + 1])
+        low = max(low, k) if one else low
+        if low >= high:
+            continue
+        differ = np.zeros((len(own), high - low), np.uint16)
+        for w in range(words):
+            differ += np.bitwise_count(mine[:, w, None] ^ theirs[w, None, low:high])
+        both = m[:, None] + n[None, low:high]
+        i, j = np.nonzero(both - differ >= 2 * least / (1 + least) * both - 1e-6)
+        if one:
+            i, j = i[(later := k + i < low + j)], j[later]
+        for x, y in zip(own[i], right[low + j], strict=True):
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if shared and shared / (size[x] + size[y] - shared) >= least:
+                yield x, y, shared / (size[x] + size[y] - shared)
+
+
+def _set_pairs(keys: list[str], least: float):
+    """Pairs of like sets of a group: of one part or of two. Equal sets are compared once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, part = group.column("id").combine_chunks(), group.column("is_left").to_numpy()
+        w = group.column("w").combine_chunks()
+        values, ends = w.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))])
+        one = bool(part.all())
+        members: dict[bytes, tuple[list[int], list[int]]] = {}
+        for i in range(len(part)):
+            members.setdefault(np.sort(values[ends[i] : ends[i + 1]]).tobytes(), ([], []))[0 if part[i] else 1].append(i)
+        sets, rows = [np.frombuffer(k, np.int64) for k in members], [(np.array(x, int), np.array(y, int)) for x, y in members.values()]
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+
+        def meet(x: np.ndarray, y: np.ndarray, score: float) -> None:
+            found.append((np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), score)))
+
+        for x, y in rows:
+            if one and len(x) > 1:
+                i, j = np.triu_indices(len(x), 1)
+                found.append((x[i], x[j], np.ones(len(i))))
+            elif len(x) and len(y):
+                meet(x, y, 1.0)
+        left, right = (np.array([k for k, r in enumerate(rows) if len(r[side])], int) for side in (0, 1))
+        right = left if one else right
+        if len(left) and len(right):
+            for x, y, score in _like(sets, left, right, one, least):
+                if x != y:
+                    meet(rows[x][0], rows[y][0 if one else 1], score)
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = pa.array(i)
+        return pa.table({k: group.column(k).combine_chunks().take(at) for k in keys} | {"a": ids.take(at), "b": ids.take(pa.array(j)), "score": pa.array(score)})
+
+    return run
+
+
 def token_pairs(rows: DataFrame, block: list[str], least: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Pairs of like token sets within a block, by prefix filtering: similar sets share one of the rarest
-    (1 - least) * n + 1 tokens of each, so only sets that share such a token meet."""
-    tok = rows.select(*block, F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    freq = tok.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    ordered = (
-        tok.select(*block, "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, "t")
-        .groupBy(*block, "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"), F.first("n").alias("n"))
-        .select(*block, "id", "n", F.transform("o", lambda x: x["t"]).alias("w"))
-    )
-    prefix = ordered.withColumn("t", F.explode(F.slice("w", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))))
-    a, b = prefix.select(*block, "t", F.col("id").alias("a_id"), F.col("n").alias("an")), prefix.select(*block, "t", F.col("id").alias("b_id"), F.col("n").alias("bn"))
-    met = a.join(b, [*block, "t"]).where((F.col("a_id") < F.col("b_id")) & (F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn"))).select(*block, "a_id", "b_id").distinct()
-    sets = tok.select("id", "w")
-    both = met.join(sets.select(F.col("id").alias("a_id"), F.col("w").alias("aw")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("w").alias("bw")), "b_id")
-    return both.withColumn("score", T.set_similarity(F.col("aw"), F.col("bw"))).where(F.col("score") >= least).drop("aw", "bw")
+    """(block, a_id, b_id, score): pairs of like token sets within a block.
+
+    A block of more than ``PART`` sets is dealt into classes of sizes, so wide that like sets are of one class or of two
+    neighbouring ones, and these into parts; each two parts that may hold like sets meet in one task, which compares bitmaps
+    and intersects only what those leave, see ``_like``. No pair that fails is written. Tokens are told apart by 64-bit hashes.
+    """
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in block)
+    kind = rows.schema[id_col].dataType.simpleString()
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in block)) if block else rows
+    tok = known.select(*block, F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    width = max(float(np.log(1 / least)) * (1 + 1e-9), 1e-4)
+    tok = tok.select(*block, "id", F.transform("w", lambda t: F.xxhash64(t)).alias("w"), F.floor(F.log(F.size("w")) / width).cast("int").alias("class"))
+    counts = tok.groupBy(*block, "class").agg(F.count("*").alias("n"))
+    whole = counts.groupBy(*block).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("n") / PART).cast("int")))).alias("parts"))
+    dealt = tok.join(F.broadcast(whole), block).withColumn("small", F.col("total") <= PART)
+    own = F.col("parts")[F.col("class")]
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), own).cast("int"))
+    key = lambda c, step, low, high, left: F.struct(c.alias("of"), F.lit(step).alias("step"), low.alias("low"), high.alias("high"), left.alias("is_left"))
+    each = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at, c = F.col("part"), F.col("class")
+    among = F.transform(each(own), lambda o: key(c, 0, F.least(at, o), F.greatest(at, o), at <= o))
+    larger = F.transform(each(F.col("parts")[c + 1]), lambda o: key(c, 1, at, o, F.lit(True)))
+    smaller = F.transform(each(F.col("parts")[c - 1]), lambda o: key(c - 1, 1, o, at, F.lit(False)))
+    alone = F.array(key(F.lit(0), 0, F.lit(0), F.lit(0), F.lit(True)))
+    sent = dealt.select(*block, "id", "w", F.explode(F.when(F.col("small"), alone).otherwise(F.concat(among, larger, smaller))).alias("m")).select(*block, "id", "w", "m.*")
+    pairs = sent.groupBy(*block, "of", "step", "low", "high").applyInArrow(_set_pairs(block, least), f"{kinds + ', ' if block else ''}a {kind}, b {kind}, score double")
+    return pairs.where("a != b").select(*block, F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), "score")
 
 
 def centroids(rows: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from storyline.operators import clustering, graph, similarity
@@ -64,6 +66,35 @@ def test_token_pairs_equal_all_pairs(spark):
     assert {(r["a_id"], r["b_id"]) for r in similarity.token_pairs(df, ["block"], 0.7).collect()} == want
 
 
+@pytest.mark.parametrize(("least", "part"), [(0.3, 16384), (0.6, 25), (0.85, 10), (1.0, 40)])
+def test_token_pairs_of_many_sets_and_sizes(spark, monkeypatch, least, part):
+    """Copies, near copies and sets of all sizes, in one part and in many; links and scores are those of all pairs."""
+    monkeypatch.setattr(similarity, "PART", part)
+    rng = np.random.default_rng(int(10 * least))
+    sets = [rng.choice(400, int(n), replace=False) for n in rng.integers(1, 120, 30)]
+    rows = []
+    for s in sets:
+        rows += [s, s] + [np.union1d(s[rng.random(len(s)) > drop], [500 + len(rows)]) for drop in (0.05, 0.2, 0.4)]
+    texts = [" ".join(f"w{x}x" for x in s) for s in rows]
+    df = spark.createDataFrame([(i, "ab"[i % 7 == 0], t) for i, t in enumerate(texts)] + [(1000, None, texts[0]), (1001, None, texts[0])], "id long, block string, text string")
+    want = {}
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            x, y = set(texts[i].split()), set(texts[j].split())
+            if (i % 7 == 0) == (j % 7 == 0) and len(x & y) / len(x | y) >= least:
+                want[i, j] = len(x & y) / len(x | y)
+    got = similarity.token_pairs(df, ["block"], least).collect()
+    assert {(r["a_id"], r["b_id"]): r["score"] for r in got} == want and len(got) == len(want) >= 20
+
+
+def test_token_pairs_write_no_candidates(spark):
+    """Sets that share many tokens but are not alike meet in their tasks only: the one join is with the sizes of blocks."""
+    texts = [" ".join([f"common{k}" for k in range(40)] + [f"own{i}x{k}" for k in range(40)]) for i in range(60)]
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "id long, block string, text string")
+    pairs = similarity.token_pairs(df, ["block"], 0.6)
+    assert pairs.count() == 0 and pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_entities_resolve_in_order(spark):
     entities = spark.createDataFrame([("e1", "Petrobras S.A.", "Petrobras S.A."), ("e2", "Acme Corp", "Acme Corporation"), ("e3", "Banana Republic", "Banana Republic")], "entity_id string, name string, canonical_name string")
     names = spark.createDataFrame([("petrobras",), ("acme corp",), ("Banana Republics",), ("unknown thing",)], "name string")
