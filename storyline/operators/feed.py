@@ -44,10 +44,12 @@ def pagination(rows: DataFrame, number: int, size: int) -> DataFrame:
     return rows.agg(total.alias("total"), pages.alias("pages"), (F.lit(number) < pages).alias("has_next"), F.lit(number > 1).alias("has_previous"))
 
 
-def with_feedback(clusters: DataFrame, feedback: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Likes, dislikes and the latest feedback of each cluster, from one aggregate over the clusters at hand."""
+def with_feedback(clusters: DataFrame, feedback: DataFrame, key: str = "cluster_id", place: Column | None = None) -> DataFrame:
+    """Likes, dislikes and the latest feedback of each cluster, from one aggregate over the clusters at hand. ``place``: of feedback of
+    one time and id that with the least place counts; the value itself is the last word, so that reruns agree."""
+    at = F.lit(0) if place is None else place
     own = feedback.join(clusters.select(key).distinct(), key, "left_semi")
-    agg = own.groupBy(key).agg(F.count_if(F.col("feedback") == "like").alias("likes"), F.count_if(F.col("feedback") == "dislike").alias("dislikes"), F.max_by("feedback", F.struct("created_at", "feedback_id")).alias("latest"))
+    agg = own.groupBy(key).agg(F.count_if(F.col("feedback") == "like").alias("likes"), F.count_if(F.col("feedback") == "dislike").alias("dislikes"), F.max_by("feedback", F.struct("created_at", "feedback_id", (-at).alias("place"), "feedback")).alias("latest"))
     return clusters.join(agg, key, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("likes", "dislikes")})
 
 

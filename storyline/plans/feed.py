@@ -63,8 +63,9 @@ f AS (SELECT cluster_id, count(*) FILTER (feedback = 'like') AS likes, count(*)
   arg_max(feedback, (created_at, article_id)) AS latest FROM arts WHERE feedback IS NOT NULL GROUP BY 1)
 SELECT c.cluster_id, coalesce(likes, 0) AS likes, coalesce(dislikes, 0) AS dislikes, latest FROM clusters c LEFT JOIN f ON c.cluster_id = f.cluster_id WHERE status = 'ativo'""")
 def feedback_summary(spark, sf_dir):
-    fb = C.cluster_articles(spark, sf_dir).where("feedback is not null").withColumnRenamed("article_id", "feedback_id")
-    return O.with_feedback(C.clusters(spark, sf_dir).where("status = 'ativo'").select("cluster_id"), fb)
+    """Of feedback of one time and id the first in the table is the latest, as arg_max keeps what it meets first."""
+    active = C.clusters(spark, sf_dir).where("status = 'ativo'").select("cluster_id")
+    return O.with_feedback(active, C.placed_feedback(spark, sf_dir), place=F.col("place"))
 
 
 @query(f"""WITH {_CLUSTERS}, {_ARTICLES}
