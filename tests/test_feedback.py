@@ -10,7 +10,7 @@ def test_ties_of_feedback_go_by_place(spark, tmp_path):
     c = duckdb.connect()
     c.execute("SET threads = 1")
     c.execute("CREATE TABLE orders AS SELECT k AS o_orderkey, 1::BIGINT AS o_custkey, 'O' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '1997-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(40) r(k)")
-    line = "SELECT k AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, (k % 3)::INT AS l_linenumber, CASE WHEN (k + n) % 2 = 0 THEN 'A' ELSE 'R' END AS l_returnflag, TIMESTAMP '1997-02-01' AS l_shipdate FROM range(40) r(k), range(3) s(n)"
+    line = "SELECT k AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, (k % 3)::INT AS l_linenumber, CASE WHEN (k + n) % 2 = 0 THEN 'A' ELSE 'R' END AS l_returnflag, TIMESTAMP '1997-02-01' AS l_shipdate FROM range(40) r(k), range(4) s(n)"
     c.execute(f"CREATE TABLE lineitem AS {line} ORDER BY n, k")
     for t in ("orders", "lineitem"):
         c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
