@@ -37,7 +37,7 @@ def running_centroid(vectors: Column) -> Column:
 
 @F.pandas_udf(ArrayType(FloatType()))
 def decode_float32(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
 @F.pandas_udf(BinaryType())
@@ -57,6 +57,6 @@ def stub_embedding(texts: pd.Series) -> pd.Series:
         if text is None:
             return None
         v = np.random.RandomState(_seed(text)).randn(384).astype(np.float32)
-        return (v / np.linalg.norm(v)).tolist()
+        return v / np.linalg.norm(v)
 
     return texts.map(one)

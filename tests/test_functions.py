@@ -111,3 +111,15 @@ def test_stitching(spark):
 def test_message_parts(spark):
     df = spark.createDataFrame([(1, "aaaa\nbbbb\ncccccccccccc\nd")], "i int, message string")
     assert [r["piece"] for r in export.message_parts(df, limit=10).orderBy("part").collect()] == ["aaaa\nbbbb\n", "cccccccccc", "cc\nd"]
+
+
+def test_vector_udfs_keep_arrays():
+    """A batch of vectors stays in arrays of four bytes a component; lists of Python numbers take some ten times that."""
+    import numpy as np
+    import pandas as pd
+
+    from storyline.functions import vectors as V
+
+    held = V.stub_embedding.func(pd.Series(["a", None]))
+    back = V.decode_float32.func(V.encode_float32.func(pd.Series([np.array([1.5, -2.0]), None])))
+    assert held[0].dtype == back[0].dtype == np.float32 and back[0].tolist() == [1.5, -2.0] and held[1] is None and back[1] is None
