@@ -24,8 +24,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: Words of more bytes are hashed one by one.
 LONG = 64
-_EIGHT = np.arange(8)
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: By a number of bytes left, those bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -67,10 +67,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     start, size = edge[::2], edge[1::2] - edge[::2]
     out = mix(size.astype(np.uint64) + _VALUES[0])
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # The eight bytes from each place on, as numbers that overlap.
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     for at in range(0, min(int(size.max(initial=0)), LONG), 8):
-        some = np.flatnonzero((size > at) & (size <= LONG)) if at else np.flatnonzero(size <= LONG)
-        first, left = start[some] + at, np.minimum(size[some] - at, 8)
-        piece = padded[first[:, None] + _EIGHT].view(np.uint64)[:, 0] & (_FULL >> (np.uint64(64) - left.astype(np.uint64) * np.uint64(8)))
+        some = some[size[some] > at] if at else np.flatnonzero(size <= LONG)
+        piece = eights[start[some] + at] & _MASKS[np.minimum(size[some] - at, 8)]
         out[some] = mix((out[some] ^ piece) + _VALUES[1 + at // 8])
     for i in np.flatnonzero(size > LONG).tolist():
         out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
