@@ -123,3 +123,15 @@ def test_vector_udfs_keep_arrays():
     held = V.stub_embedding.func(pd.Series(["a", None]))
     back = V.decode_float32.func(V.encode_float32.func(pd.Series([np.array([1.5, -2.0]), None])))
     assert held[0].dtype == back[0].dtype == np.float32 and back[0].tolist() == [1.5, -2.0] and held[1] is None and back[1] is None
+
+
+def test_a_text_is_classified_once(spark):
+    """The tag is evaluated once for the tag and the priority."""
+    from pyspark.sql import functions as F
+
+    from storyline import providers
+    from storyline.functions import text as T
+
+    rows = spark.createDataFrame([("x",)], "text string")
+    plan = lambda c: rows.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("substring(text")
+    assert plan(providers.keyword_classifier(F.col("text"))) == plan(T.fix_tag(F.substring("text", 1, 400))) > 0
