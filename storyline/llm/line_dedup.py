@@ -13,7 +13,8 @@ Comparisons are of the exact Jaccard similarity of all shingles.
 Similar lines are joined by distributed union-find, and of each component the first line by (id, text hash, place) is
 kept.
 
-Everything is DataFrame expressions. Lines are compared without blanks at their ends; blank lines are kept as
+Everything is DataFrame expressions. Signing makes a row of each shingle of a distinct line, which the task that holds
+the line counts down to least hashes, so that no shingle is hashed by an interpreted function. Lines are compared without blanks at their ends; blank lines are kept as
 they are. A null text stays null and an empty one empty. A null id comes last. Rows that are equal in id and text
 are treated alike: what is kept in one is kept in the other. A text may have any length: its lines are rows, a line
 itself is held whole by the task that reads its document. Extra columns pass through; an empty table gives an empty
@@ -35,7 +36,6 @@ from storyline.llm.leaders import leader_links
 SHINGLE = 8
 #: Ranges of hashes as bits of the hash, of which a band takes neighbouring ones; the hashes looked at in a range, on average.
 RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 2
-BANDS = 1 << BAND_BITS
 #: Least hashes compared before two lines are, and how many standard deviations fewer may agree than similar lines share.
 SKETCH, DEVIATIONS = 320, 3
 
@@ -45,40 +45,35 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def _windows(raw: Column) -> Column:
-    """The hashes of all shingles of a line, as bytes; a shingle is a slice of them."""
-    width = 2 * SHINGLE
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (width - 1), F.lit(1)), F.lit(2))
-    return F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(width))))
+def _starts(raw: Column) -> Column:
+    """Where the shingles of a line, as bytes, begin."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
 
 
-def _hashes(line: Column) -> Column:
-    """Distinct hashes of all shingles."""
-    return _bound(F.encode(line, "UTF-16BE"), lambda raw: F.array_distinct(_windows(raw)))
+def _window(raw: Column, at: Column) -> Column:
+    """The hash of the shingle that begins there."""
+    return F.xxhash64(F.substring(raw, at, F.lit(2 * SHINGLE)))
 
 
-def _bands(line: Column) -> Column:
-    """array<long>: a hash of each band's least hashes, null where its ranges are empty."""
-    in_range = (1 << (64 - RANGE_BITS)) - 1
-    share = F.least(F.lit(1.0), F.lit(float(LOOKED_AT << RANGE_BITS)) / F.greatest(F.char_length(line) - (SHINGLE - 1), F.lit(1)))
-    most = F.when(share >= 1, F.lit(in_range)).otherwise((share * in_range).cast("long"))
-    low = _bound(F.struct(F.encode(line, "UTF-16BE").alias("raw"), most.alias("most")), lambda b: F.filter(_windows(b["raw"]), lambda x: x.bitwiseAND(F.lit(in_range)) <= b["most"]))
-    # Sorted hashes stand by range, the least of a range first.
-    at = lambda x: F.shiftright(x, 64 - RANGE_BITS)
-    least = _bound(F.sort_array(F.array_distinct(low)), lambda s: F.filter(s, lambda x, i: (i == 0) | (at(x) != at(F.get(s, i - 1)))))
-    none = F.array().cast("array<long>")
-
-    def band(held: Column, q: int) -> Column:
-        own = F.filter(held, lambda x: F.shiftright(x, 64 - BAND_BITS) == q)
-        return F.nullif(F.xxhash64(F.lit(q), own), F.xxhash64(F.lit(q), none))
+def _windows(line: Column) -> Column:
+    """The hashes of all shingles of a line, in their order."""
+    return _bound(F.encode(line, "UTF-16BE"), lambda raw: F.transform(_starts(raw), lambda at: _window(raw, at)))
 
-    return _bound(least, lambda m: F.array(*(band(m, q) for q in range(-BANDS // 2, BANDS // 2))))
 
+def _band_keys(lines: DataFrame) -> DataFrame:
+    """(lid, key) of each distinct line and each of its bands that has a least hash.
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """The lines with the keys of their bands."""
-    keyed = lines.select("id", "rk", "pos", "lid", _bands(F.col("line")).alias("bands"))
-    return keyed.select("id", "rk", "pos", "lid", *(F.get("bands", F.lit(q)).alias(f"k{q}") for q in range(BANDS)))
+    Windows are rows, so that hashing them is compiled with the stage; they are counted down to least hashes by the task that holds the line.
+    """
+    in_range = (1 << (64 - RANGE_BITS)) - 1
+    share = F.least(F.lit(1.0), F.lit(float(LOOKED_AT << RANGE_BITS)) / F.greatest(F.char_length("line") - (SHINGLE - 1), F.lit(1)))
+    most = F.when(share >= 1, F.lit(in_range)).otherwise((share * in_range).cast("long"))
+    raw = lines.groupBy("lid").agg(F.first("line").alias("line")).select("lid", F.encode("line", "UTF-16BE").alias("raw"), most.alias("most"))
+    hashed = raw.select("lid", "raw", "most", F.explode(_starts(F.col("raw"))).alias("at")).select("lid", "most", _window(F.col("raw"), F.col("at")).alias("h"))
+    low = hashed.where(F.col("h").bitwiseAND(F.lit(in_range)) <= F.col("most"))
+    least = low.groupBy("lid", F.shiftright("h", 64 - RANGE_BITS)).agg(F.min("h").alias("h"))
+    bands = least.groupBy("lid", F.shiftright("h", 64 - BAND_BITS).alias("band")).agg(F.bit_xor(F.xxhash64("h")).alias("held"))
+    return bands.select("lid", F.xxhash64("band", "held").alias("key"))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -105,7 +100,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of lines those whose shingle sets have the Jaccard similarity ``least`` or more."""
     side = lambda c: texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("line").alias(f"l{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    shared = F.size(F.array_intersect(_hashes(F.col("la")), _hashes(F.col("lb"))))
+    # An intersection has each hash once, whatever the order and number in its sides.
+    shared = F.size(F.array_intersect(_windows(F.col("la")), _windows(F.col("lb"))))
     return both.select("a", "b", "na", "nb", shared.alias("shared")).where(F.col("shared") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
@@ -113,28 +109,25 @@ def similar_lines(docs: DataFrame, id_col: str, text_col: str, least: float) ->
     """Places of all lines (id, rk, pos, lid) with the lines that stand in several (lid), and links (a, b) between similar distinct lines."""
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
-    bands = [f"k{q}" for q in range(BANDS)]
-    places, signed_path = written(_signed(lines), "line-signed")
-    distinct, distinct_path = written(places.groupBy("lid").agg(F.count("*").alias("times"), *(F.min(k).alias(k) for k in bands)), "line-distinct")
-    places = materialise(places.select("id", "rk", "pos", "lid"), "line-places")
-    drop(spark, signed_path)
+    places = materialise(lines.select("id", "rk", "pos", "lid"), "line-places")
+    keys, keys_path = written(_band_keys(lines), "line-bands")
+    # The session holds on to its last query: this one comes after the keys so that the shuffled lines can go.
+    repeated = materialise(places.groupBy("lid").agg(F.count("*").alias("times")).where("times > 1").select("lid"), "line-copied")
     release(spark)
-    keys = distinct.select("lid", F.explode(F.array(*bands)).alias("key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.count("*").alias("lines"))
-    shared, shared_path = written(shared.where("lines > 1"), "line-bands")
+    shared, shared_path = written(shared.where("lines > 1"), "line-met")
     release(spark)
     larger = shared.where("lines > 2").select("key")
     members, members_path = written(
         shared.where("lines = 2").select("key", F.explode(F.array("low", "high")).alias("id")).union(bit_filter(keys, "key", larger, "key").join(larger, "key").select("key", F.col("lid").alias("id"))),
         "line-shared",
     )
+    drop(spark, keys_path)
     wanted = members.select("id").distinct()
-    repeated = materialise(distinct.where("times > 1").select("lid"), "line-copied")
     found = bit_filter(lines.select(F.col("lid").alias("id"), "line"), "id", wanted, "id").join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
-    hashed = found.withColumn("h", _hashes(F.col("line")))
+    hashed = found.withColumn("h", F.array_distinct(_windows(F.col("line"))))
     sketch = F.transform(F.slice(F.sort_array("h"), 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     texts, texts_path = written(hashed.select("id", F.size("h").cast("long").alias("n"), sketch.alias("sketch"), "line"), "line-texts")
-    drop(spark, distinct_path)
     drop(spark, shared_path)
     release(spark)
     links = leader_links(members, texts.select("id", "n", "sketch"), lambda x, y: _agree(x, y, least), lambda p: _verified(p, texts, least), "line")

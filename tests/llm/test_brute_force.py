@@ -217,6 +217,17 @@ def test_line_dedup_signs_all_shingles(spark):
     assert sum(out[i] == 1 for i in range(60)) >= 0.9 * 60
 
 
+def test_line_signing_is_compiled(spark):
+    """Distinct lines are signed once, each band by one key, without interpreted functions on shingles."""
+    long, short = "a line of some forty characters, or more " * 5, "brief"
+    df = spark.createDataFrame([(1, f"{long}\n{short}\n\n{long}"), (2, long), (3, None), (4, short + " 1")], "doc_id long, text string")
+    keys = line_dedup._band_keys(line_dedup._lines(df, "doc_id", "text"))
+    got = [tuple(x) for x in keys.collect()]
+    of = Counter(lid for lid, _ in got)
+    assert len(got) == len(set(got)) and sorted(of.values())[:2] == [1, 1] and len(of) == 3 and 4 <= max(of.values()) <= 8
+    assert "lambda" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
 def templated(r, common, own, n):
     """Lines of one template, each with a part of its own and an edited copy, and some of unlike length."""
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
