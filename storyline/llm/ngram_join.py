@@ -68,10 +68,14 @@ class Partition:
         """H: how many tokens a set of n and a similar one no larger differ in at most."""
         return 2 * n * (100 - self.percent) // (100 + self.percent)
 
+    def dealt(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per token its hash and its segment."""
+        h = mix(tokens ^ self.salt)
+        return h, ((h >> np.uint64(32)) * np.uint64(self.m)) >> np.uint64(32)
+
     def segments(self, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per token, sorted by segment: its value; per segment that is not empty: number, first place, size, sum of values."""
-        h = mix(tokens ^ self.salt)
-        seg = ((h >> np.uint64(32)) * np.uint64(self.m)) >> np.uint64(32)
+        h, seg = self.dealt(tokens)
         order = np.argsort(seg, kind="stable")
         seg, values = seg[order], mix(h[order] + np.uint64(1))
         first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
@@ -80,11 +84,11 @@ class Partition:
 
     def need(self, tokens: np.ndarray) -> tuple[int, int]:
         """How many segments the set fills, and the level at which its segments are enough."""
-        _, _, _, size, _ = self.segments(tokens)
-        least = self.most_different(len(tokens)) + 1
-        if len(size) >= least:
-            return len(size), EXACT
-        return len(size), DELETIONS if len(size) + int((size > 1).sum()) >= least else PREFIXES
+        size = np.bincount(self.dealt(tokens)[1].astype(np.int64))
+        filled, least = int(np.count_nonzero(size)), self.most_different(len(tokens)) + 1
+        if filled >= least:
+            return filled, EXACT
+        return filled, DELETIONS if filled + int(np.count_nonzero(size > 1)) >= least else PREFIXES
 
     def signatures(self, tokens: np.ndarray, level: int) -> np.ndarray:
         values, seg, first, size, total = self.segments(tokens)
@@ -98,7 +102,7 @@ class Partition:
         if level >= PREFIXES:
             n = len(tokens)
             out.append(mix(tokens[: n - -(-n * self.percent // 100) + 1] + mix(self.salt + np.uint64(7))))
-        return np.unique(np.concatenate(out)) if level > EXACT else out[0]
+        return np.concatenate(out)
 
 
 _PARTS: dict[tuple[int, int], Partition] = {}
@@ -204,7 +208,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     measured = materialise(docs.select("id", "rk", "text").mapInArrow(_measure(percent, k), f"id {kind}, rk long, n long, sid long, band int, filled int, need int, sketch array<long>"), "join-sets")
     # One row a band, some sixty at most.
     levels = {r["band"]: r["level"] for r in measured.where("n > 0").groupBy("band").agg(F.max("need").alias("level")).collect()}
-    signed = docs.select("text").mapInArrow(_sign(levels, percent, k), "sig long, node long")
+    # One text of each set is signed; where the filter fills up, copies are signed too, to no other effect than the time it takes.
+    signers = materialise(measured.where("n > 0").groupBy("sid").agg(F.min("rk").alias("rk")), "join-signers")
+    signed = bit_filter(docs.select("rk", "text"), "rk", signers, "rk").select("text").mapInArrow(_sign(levels, percent, k), "sig long, node long")
     sid = lambda c: F.col(c).bitwiseAND(F.lit(-2))
     buckets = materialise(
         signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where(sid("low") != sid("high")), "join-buckets"

@@ -159,6 +159,26 @@ def test_partition_levels_are_complete():
             assert len(np.intersect1d(part.signatures(x, ngram_join.PREFIXES), part.signatures(y, ngram_join.PREFIXES)))
 
 
+def test_join_signs_a_set_once(spark, monkeypatch):
+    """Of texts with equal sets one is signed in each of the two passes; copies still end in one class."""
+    signed, sign = spark.sparkContext.accumulator(0), ngram_join._sign
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                signed.add(b.num_rows)
+                yield from sign(*args)(iter([b]))
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_sign", counted)
+    base = " ".join(f"word{i}" for i in range(60))
+    texts = [base] * 40 + [base.upper() + " more"] * 10 + ["quite another text of seven words here", None]
+    got = {x["id"]: x["class"] for x in ngram_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({got[i] for i in range(50)}) == 1 and got[50] not in (None, got[0]) and got[51] is None
+    assert 3 <= signed.value <= 6
+
+
 def char_shingles(line, k=8):
     return {line[i : i + k] for i in range(len(line) - k + 1)} if len(line) >= k else {line}
 
