@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import drop, materialise, release, written
+from storyline.llm.common import bit_filter, drop, materialise, release, written
 from storyline.llm.components import components
 
 #: Members of a block: of those outside a band's largest tie, and of all.
@@ -29,12 +29,17 @@ def _central(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return members.join(met.select("id", "n", (F.col("met") / F.col("n")).alias("met")), "id").select("key", "id", "n", "met")
 
 
-def _between_ties(tied: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs (a, b) of members (key, id, tie) that share a band and not the tie, each once: in the least of the bands that it shares."""
+def _of_several_ties(tied: DataFrame) -> DataFrame:
+    """Members (key, id, tie) of bands that hold several ties, with the largest tie and the number of blocks of either side."""
     of_key = tied.groupBy("key", "tie").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("main"), F.max("n").alias("held"), F.sum("n").alias("size"))
     mixed = of_key.where("held < size").select("key", "main", F.ceil((F.col("size") - F.col("held")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / AGAINST).cast("int").alias("others"))
-    keys = tied.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    placed = tied.join(mixed, "key").join(known.join(keys, "id"), "id")
+    return tied.join(mixed, "key")
+
+
+def _between_ties(mixed: DataFrame, known: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of such members that share a band and not the tie, each once: in the least of the bands that it shares, which all are of several ties."""
+    keys = mixed.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    placed = mixed.join(bit_filter(known, "id", keys, "id").join(keys, "id"), "id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     side = lambda name: F.struct("id", "tie", "n", "keys", "sketch").alias(name)
@@ -58,6 +63,12 @@ def leader_links(members: DataFrame, known: DataFrame, may: Callable[[Column, Co
     tied, tied_path = written(central.join(ties, "id", "left").select("key", "id", F.coalesce("tie", "id").alias("tie")), f"{tag}-tied")
     drop(spark, central_path)
     release(spark)
-    second = materialise(verify(_between_ties(tied, known, may)), f"{tag}-links")
+    mixed, mixed_path = written(_of_several_ties(tied), f"{tag}-mixed")
     drop(spark, tied_path)
+    release(spark)
+    met, met_path = written(_between_ties(mixed, known, may), f"{tag}-compared")
+    release(spark)
+    second = materialise(verify(met), f"{tag}-links")
+    for path in (mixed_path, met_path):
+        drop(spark, path)
     return first.union(second)

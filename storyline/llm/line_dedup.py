@@ -8,13 +8,14 @@ similarity 0.8 share one of the eight bands in 98 to 99 of 100 cases, at 0.85 in
 Of the distinct lines that share a band, each is compared with the most central one, and where that leaves a band
 in several ties, all lines of different ties are compared, see ``leaders``; no size of a band changes that. Before two
 lines of different ties are compared in full, their ``SKETCH`` least hashes are: pairs that agree in so few that lines of
-similarity 0.8 do so in 1 of 700 cases are passed over; lines of no more shingles are thereby compared exactly.
-Comparisons are of the exact Jaccard similarity of all shingles.
+similarity 0.8 do so in 1 of 700 cases are passed over; of lines of no more shingles none that is similar is. Least hashes are
+compared by 16 of their bits; those of a line that thereby fall together count as agreeing. Comparisons are of the exact
+Jaccard similarity of all shingles.
 Similar lines are joined by distributed union-find, and of each component the first line by (id, text hash, place) is
 kept.
 
 Everything is DataFrame expressions. Signing makes a row of each shingle of a distinct line, which the task that holds
-the line counts down to least hashes, so that no shingle is hashed by an interpreted function. Lines are compared without blanks at their ends; blank lines are kept as
+the line counts down to a row of least hashes, so that no shingle is hashed by an interpreted function. Lines are compared without blanks at their ends; blank lines are kept as
 they are. A null text stays null and an empty one empty. A null id comes last. Rows that are equal in id and text
 are treated alike: what is kept in one is kept in the other. A text may have any length: its lines are rows, a line
 itself is held whole by the task that reads its document. Extra columns pass through; an empty table gives an empty
@@ -25,6 +26,8 @@ would take the one for a copy of the other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ from storyline.llm.components import components
 from storyline.llm.leaders import leader_links
 
 SHINGLE = 8
+#: What lines are compared without at their ends.
+BLANKS = " \t\r"
 #: Ranges of hashes as bits of the hash, of which a band takes neighbouring ones; the hashes looked at in a range, on average.
 RANGE_BITS, BAND_BITS, LOOKED_AT = 5, 3, 2
 #: Least hashes compared before two lines are, and how many standard deviations fewer may agree than similar lines share.
@@ -63,7 +68,7 @@ def _windows(line: Column) -> Column:
 def _band_keys(lines: DataFrame) -> DataFrame:
     """(lid, key) of each distinct line and each of its bands that has a least hash.
 
-    Windows are rows, so that hashing them is compiled with the stage; they are counted down to least hashes by the task that holds the line.
+    Windows are rows, so that hashing them is compiled with the stage; the task that holds the line makes one row of them, with a column for each range.
     """
     in_range = (1 << (64 - RANGE_BITS)) - 1
     share = F.least(F.lit(1.0), F.lit(float(LOOKED_AT << RANGE_BITS)) / F.greatest(F.char_length("line") - (SHINGLE - 1), F.lit(1)))
@@ -71,9 +76,16 @@ def _band_keys(lines: DataFrame) -> DataFrame:
     raw = lines.groupBy("lid").agg(F.first("line").alias("line")).select("lid", F.encode("line", "UTF-16BE").alias("raw"), most.alias("most"))
     hashed = raw.select("lid", "raw", "most", F.explode(_starts(F.col("raw"))).alias("at")).select("lid", "most", _window(F.col("raw"), F.col("at")).alias("h"))
     low = hashed.where(F.col("h").bitwiseAND(F.lit(in_range)) <= F.col("most"))
-    least = low.groupBy("lid", F.shiftright("h", 64 - RANGE_BITS)).agg(F.min("h").alias("h"))
-    bands = least.groupBy("lid", F.shiftright("h", 64 - BAND_BITS).alias("band")).agg(F.bit_xor(F.xxhash64("h")).alias("held"))
-    return bands.select("lid", F.xxhash64("band", "held").alias("key"))
+    within = F.shiftrightunsigned("h", 64 - RANGE_BITS)
+    least = low.groupBy("lid").agg(*(F.min(F.when(within == k, F.col("h"))).alias(f"least_{k}") for k in range(1 << RANGE_BITS)))
+    wide = 1 << (RANGE_BITS - BAND_BITS)
+
+    def key(band: int) -> Column:
+        # A range without a hash is left out of the key; a hash says itself of which range it is.
+        held = [F.col(f"least_{k}") for k in range(wide * band, wide * (band + 1))]
+        return F.when(F.coalesce(*held).isNotNull(), F.xxhash64(F.lit(band), *held))
+
+    return least.select("lid", F.explode(F.array(*map(key, range(1 << BAND_BITS)))).alias("key")).where("key is not null")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -82,8 +94,19 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row key, place, line, hash of the line) of each line that is not blank."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rk"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''").withColumn("lid", F.xxhash64("line"))
+    known = docs.where(F.col(text_col).isNotNull())
+    # The key of a row is made before its lines are: above the generator it would be made of the whole text for each line.
+    rows = known.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rk"), F.split(F.col(text_col), "\n").alias("lines")).select("id", "rk", F.posexplode("lines").alias("pos", "line"))
+    line = F.col("line")
+    ends = reduce(or_, (f(blank) for blank in BLANKS for f in (line.startswith, line.endswith)))
+    return rows.withColumn("line", F.when(ends, F.btrim(line, F.lit(BLANKS))).otherwise(line)).where("line != ''").withColumn("lid", F.xxhash64("line"))
+
+
+def _sketched(lines: DataFrame) -> DataFrame:
+    """(id, n, sketch, line) of lines: how many shingles, and 16 bits of each of the least hashes."""
+    hashed = lines.select("id", F.sort_array(F.array_distinct(_windows(F.col("line")))).alias("h"), "line")
+    sketch = F.array_distinct(F.transform(F.slice("h", 1, SKETCH), lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - F.lit(0x8000)).cast("short")))
+    return hashed.select("id", F.size("h").cast("long").alias("n"), sketch.alias("sketch"), "line")
 
 
 def _agree(x: Column, y: Column, least: float) -> Column:
@@ -93,16 +116,20 @@ def _agree(x: Column, y: Column, least: float) -> Column:
     shared = F.lit(least / (1 + least)) * (small + large)
     looked_at = F.least(F.lit(1.0), F.lit(float(SKETCH)) / large)
     spread = F.sqrt(F.greatest(F.lit(0.0), shared * looked_at * (1 - shared / large) * (1 - looked_at)))
-    return (small >= F.lit(least) * large) & (F.size(F.array_intersect(x["sketch"], y["sketch"])) >= shared * looked_at - DEVIATIONS * spread - 1e-6)
+    # Hashes of a line that fall together in the sketch may be shared ones.
+    lost = lambda z: F.least(z["n"], F.lit(SKETCH)) - F.size(z["sketch"])
+    agreeing = F.size(F.array_intersect(x["sketch"], y["sketch"])) + F.least(lost(x), lost(y))
+    return (small >= F.lit(least) * large) & (agreeing >= shared * looked_at - DEVIATIONS * spread - 1e-6)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of lines those whose shingle sets have the Jaccard similarity ``least`` or more."""
     side = lambda c: texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("line").alias(f"l{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    # An intersection has each hash once, whatever the order and number in its sides.
+    # An intersection has each hash once, whatever the order and number in its sides. As a row of a generator it is made once, however often a filter names it.
     shared = F.size(F.array_intersect(_windows(F.col("la")), _windows(F.col("lb"))))
-    return both.select("a", "b", "na", "nb", shared.alias("shared")).where(F.col("shared") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    met = both.select("a", "b", "na", "nb", F.explode(F.array(shared)).alias("shared"))
+    return met.where(F.col("shared") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def similar_lines(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
@@ -125,9 +152,7 @@ def similar_lines(docs: DataFrame, id_col: str, text_col: str, least: float) ->
     drop(spark, keys_path)
     wanted = members.select("id").distinct()
     found = bit_filter(lines.select(F.col("lid").alias("id"), "line"), "id", wanted, "id").join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
-    hashed = found.withColumn("h", F.array_distinct(_windows(F.col("line"))))
-    sketch = F.transform(F.slice(F.sort_array("h"), 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    texts, texts_path = written(hashed.select("id", F.size("h").cast("long").alias("n"), sketch.alias("sketch"), "line"), "line-texts")
+    texts, texts_path = written(_sketched(found), "line-texts")
     drop(spark, shared_path)
     release(spark)
     links = leader_links(members, texts.select("id", "n", "sketch"), lambda x, y: _agree(x, y, least), lambda p: _verified(p, texts, least), "line")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storyline.llm import decontaminate, leaders, line_dedup, mixture, ngram_join, pii, quality, suffix_dedup
 from storyline.llm.components import components
@@ -248,6 +249,34 @@ def test_line_signing_is_compiled(spark):
     assert "lambda" not in keys._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_do_not_carry_their_text(spark):
+    """The key of a document is made once, not of the whole text for each of its lines."""
+    df = spark.createDataFrame([(1, " a\r\n\n b\tc\t\n\t"), (2, None), (None, "")], "doc_id long, text string")
+    lines = line_dedup._lines(df, "doc_id", "text")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "xxhash64(doc_id" not in above and [(x["id"], x["pos"], x["line"]) for x in lines.collect()] == [(1, 0, "a"), (1, 2, "b\tc")]
+
+
+def test_sketches_pass_similar_lines(spark):
+    """Lines of no more shingles than a sketch holds are passed over only if they aren't similar, whatever falls together in its 16 bits."""
+    r, pairs = random.Random(8), []
+    for _ in range(150):
+        line = [r.choice("abcdefgh") for _ in range(r.randint(60, line_dedup.SKETCH))]
+        copy = list(line)
+        for _ in range(r.randint(1, max(1, len(line) // 60))):
+            copy[r.randrange(len(copy))] = r.choice("XYZ#")
+        pairs.append(("".join(line), "".join(copy)))
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in range(2)], "id long, line string")
+    known = line_dedup._sketched(df)
+    assert known.schema["sketch"].dataType.simpleString() == "array<smallint>" and known.count() == 300
+    side = lambda c: known.select(F.floor(F.col("id") / 2).alias("pair"), (F.col("id") % 2).alias(f"{c}k"), F.struct("n", "sketch").alias(c))
+    met = side("x").where("xk = 0").join(side("y").where("yk = 1"), "pair").select("pair", line_dedup._agree(F.col("x"), F.col("y"), 0.8).alias("may"))
+    may = {x["pair"]: x["may"] for x in met.collect()}
+    close = [len(a & b) >= 0.8 * len(a | b) for a, b in ((char_shingles(x), char_shingles(y)) for x, y in pairs)]
+    assert 20 < sum(close) < 140 and all(may[i] for i in range(150) if close[i])
+
+
 def templated(r, common, own, n):
     """Lines of one template, each with a part of its own and an edited copy, and some of unlike length."""
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
