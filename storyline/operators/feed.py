@@ -45,11 +45,14 @@ def pagination(rows: DataFrame, number: int, size: int) -> DataFrame:
 
 
 def with_feedback(clusters: DataFrame, feedback: DataFrame, key: str = "cluster_id", place: Column | None = None) -> DataFrame:
-    """Likes, dislikes and the latest feedback of each cluster, from one aggregate over the clusters at hand. ``place``: of feedback of
-    one time and id that with the least place counts; the value itself is the last word, so that reruns agree."""
-    at = F.lit(0) if place is None else place
+    """Likes, dislikes and the latest feedback of each cluster, from one aggregate over the clusters at hand. A time or id that is null is the
+    latest, as in the SQL. ``place``: of feedback of one time and id that with the least place counts; the value itself is the last word,
+    so that reruns agree."""
+    at, made, number = F.lit(0) if place is None else place, F.col("created_at"), F.col("feedback_id")
+    newest = F.lit("1970-01-01").cast(feedback.schema["created_at"].dataType) - made
+    order = F.struct(made.isNotNull(), newest, number.isNotNull(), F.bitwise_not(number), at, "feedback")
     own = feedback.join(clusters.select(key).distinct(), key, "left_semi")
-    agg = own.groupBy(key).agg(F.count_if(F.col("feedback") == "like").alias("likes"), F.count_if(F.col("feedback") == "dislike").alias("dislikes"), F.max_by("feedback", F.struct("created_at", "feedback_id", (-at).alias("place"), "feedback")).alias("latest"))
+    agg = own.groupBy(key).agg(F.count_if(F.col("feedback") == "like").alias("likes"), F.count_if(F.col("feedback") == "dislike").alias("dislikes"), F.min_by("feedback", order).alias("latest"))
     return clusters.join(agg, key, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("likes", "dislikes")})
 
 
