@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
+    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = cut(edges.select(F.explode(ways).alias("way")).select("way.*").distinct())
     labels = cut(both.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("near"))

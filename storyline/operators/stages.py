@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from storyline import domain as D
 from storyline.functions import jsonx as J
 from storyline.functions import text as T
-from storyline.operators.clustering import components, title_key
-from storyline.operators.similarity import token_pairs
+from storyline.llm.common import materialise
+from storyline.operators.clustering import components
+from storyline.operators.similarity import set_pairs, word_sets
 
 #: Our statuses of replies and the names that reasons give them.
 STATUS_NAMES = {"EMPTY": "RESPOSTA_VAZIA", "NO_JSON": "FALHA_SEM_JSON", "INVALID": "FALHA_PARSING_TOTAL"}
@@ -57,14 +58,15 @@ def classify_clusters(clusters: DataFrame, replies: DataFrame) -> DataFrame:
 def consolidation(clusters: DataFrame, least: float = 0.85) -> DataFrame:
     """(source, target) of clusters that merge without a model: those of one title, tag and source type into the least id, then of
     what is left P3 clusters of one tag and type whose titles' words have the Jaccard similarity ``least``, through any chain."""
-    own = clusters.select("cluster_id", "title", "tag", "source_type", "priority")
-    named = own.withColumn("key", title_key(F.col("title"))).where(~T.is_generic_title(F.col("title")) & (F.col("key") != "") & (F.coalesce("tag", F.lit("")) != ""))
+    own = clusters.select("cluster_id", "title", "tag", "source_type", T.is_generic_title(F.col("title")).alias("generic"), F.coalesce(F.col("priority") == "P3_MONITORAMENTO", F.lit(False)).alias("p3"))
+    signed = materialise(word_sets(own, "cluster_id", "title", "p3", ["tag", "source_type", "generic"]), "titles")
+    named = signed.select("cluster_id", "tag", "source_type", "key").where(~F.col("generic") & F.col("key").isNotNull() & (F.coalesce("tag", F.lit("")) != ""))
     heads = named.groupBy("key", "tag", "source_type").agg(F.min("cluster_id").alias("target"))
     same = (named["key"] == heads["key"]) & (named["tag"] == heads["tag"]) & named["source_type"].eqNullSafe(heads["source_type"])
-    exact = named.join(heads, same).where("cluster_id > target").select(F.col("cluster_id").alias("source"), "target")
-    left = own.join(exact, own["cluster_id"] == exact["source"], "left_anti").where(F.col("priority") == "P3_MONITORAMENTO")
-    words = left.select(F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("source_type", F.lit("")).alias("source_type"), F.col("cluster_id").alias("id"), F.col("title").alias("text"))
-    near = components(token_pairs(words, ["tag", "source_type"], least), "a_id", "b_id").where("id <> component")
+    exact = materialise(named.join(heads, same).where("cluster_id > target").select(F.col("cluster_id").alias("source"), "target"), "merged")
+    left = signed.where(F.size("w") > 0).join(exact, F.col("cluster_id") == F.col("source"), "left_anti")
+    sets = left.select(F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("source_type", F.lit("")).alias("source_type"), F.col("cluster_id").alias("id"), "w")
+    near = components(set_pairs(sets, ["tag", "source_type"], least, forest=True), "a_id", "b_id").where("id <> component")
     return exact.unionByName(near.select(F.col("id").alias("source"), F.col("component").alias("target")))
 
 

@@ -54,7 +54,7 @@ SELECT source, target FROM x UNION ALL SELECT id, min(reach) FROM r GROUP BY 1 H
 def consolidated_clusters(spark, sf_dir):
     """Documents as clusters with their text as title: merges of equal titles, then of near ones among P3."""
     d = C.table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").alias("cluster_id"), F.translate("text", "ß", " ").alias("title"), F.col("lang").alias("tag"), F.col("source").alias("source_type"),
+    rows = d.select(F.col("doc_id").alias("cluster_id"), F.replace("text", F.lit("ß"), F.lit(" ")).alias("title"), F.col("lang").alias("tag"), F.col("source").alias("source_type"),
                     F.when(F.col("doc_id") % 4 == 0, "P1_CRITICO").otherwise("P3_MONITORAMENTO").alias("priority"))
     return G.consolidation(rows)
 
